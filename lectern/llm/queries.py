@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import packing, token_io
+from lectern.llm import packing, simhash, token_io
 from lectern.session import table
 
 
@@ -26,5 +26,9 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
 
 
-QUERIES = {"op2_token_ids": op2_token_ids, "op4_packing": op4_packing}
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_token_ids": op2_token_ids, "op4_packing": op4_packing, "op6_simhash": op6_simhash}
 ORACLES: dict[str, str] = {}
