@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import packing, simhash, token_io
+from lectern.llm import line_rules, packing, simhash, token_io
 from lectern.session import table
 
 
@@ -30,5 +30,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_token_ids": op2_token_ids, "op4_packing": op4_packing, "op6_simhash": op6_simhash}
+def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(table(spark, sf_dir, "documents"), text=False).drop("clean_text")
+
+
+QUERIES = {"op2_token_ids": op2_token_ids, "op4_packing": op4_packing, "op6_simhash": op6_simhash, "op7_line_rules": op7_line_rules}
 ORACLES: dict[str, str] = {}
