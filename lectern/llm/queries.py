@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import line_rules, packing, simhash, token_io
+from lectern.llm import chains, line_rules, ordinal, packing, simhash, token_io
 from lectern.session import table
 
 
@@ -34,5 +34,20 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"), text=False).drop("clean_text")
 
 
-QUERIES = {"op2_token_ids": op2_token_ids, "op4_packing": op4_packing, "op6_simhash": op6_simhash, "op7_line_rules": op7_line_rules}
+def op8_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal.predict(docs, ordinal.fit_ordinal(docs, table(spark, sf_dir, "labels"), "quality"))
+
+
+#: The chain's categories: a document's spam or gibberish shows in its wording, which helps to judge its tone.
+TOXICITY = {"junk": "1 - quality", "toxic": "toxic"}
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = chains.fit_chain(docs, table(spark, sf_dir, "labels"), TOXICITY)
+    return chains.predict(docs, chain, list(TOXICITY)).withColumn("toxic", F.col("is_toxic"))
+
+
+QUERIES = {"op2_token_ids": op2_token_ids, "op4_packing": op4_packing, "op6_simhash": op6_simhash, "op7_line_rules": op7_line_rules, "op8_ordinal": op8_ordinal, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
