@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chains, line_rules, ordinal, packing, simhash, token_io
+from lectern.llm import chains, langid, lbl, line_rules, ordinal, packing, simhash, token_io
+from lectern.llm.common import split_remainder
 from lectern.session import table
 
 
@@ -21,11 +22,21 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_io.ids_crc32(token_io.read_tokens(manifest))
 
 
+def op3_lbl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = split_remainder(7) == 2
+    return lbl.score(table(spark, sf_dir, "documents"), ~held_out, held_out.alias("held_out"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2, capacity=4096)
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), split_remainder(5) == 0
+    return langid.predict(docs, langid.fit(docs, ~held_out), held_out.alias("held_out"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,5 +60,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.predict(docs, chain, list(TOXICITY)).withColumn("toxic", F.col("is_toxic"))
 
 
-QUERIES = {"op2_token_ids": op2_token_ids, "op4_packing": op4_packing, "op6_simhash": op6_simhash, "op7_line_rules": op7_line_rules, "op8_ordinal": op8_ordinal, "op10_toxicity": op10_toxicity}
+QUERIES = {"op2_token_ids": op2_token_ids, "op3_lbl": op3_lbl, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_simhash": op6_simhash, "op7_line_rules": op7_line_rules, "op8_ordinal": op8_ordinal, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
