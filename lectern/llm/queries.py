@@ -19,7 +19,7 @@ def tokenizer(name: str) -> str:
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_io.write_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
-    return token_io.ids_crc32(token_io.read_tokens(manifest))
+    return token_io.read_tokens(manifest, binary=True).select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
 
 
 def op3_lbl(spark: SparkSession, sf_dir: str) -> DataFrame:

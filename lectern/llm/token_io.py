@@ -105,6 +105,8 @@ def _read(manifest: DataFrame, columns: list[str], schema: str) -> DataFrame:
     before = Window.orderBy("part", "path").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
     based = manifest.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
 
+    names = [x.split()[0] for x in schema.split(", ")]
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist()):
@@ -114,9 +116,13 @@ def _read(manifest: DataFrame, columns: list[str], schema: str) -> DataFrame:
                         got = {c: rows.column(c) for c in columns}
                         if "start" in got:
                             got["start"] = pa.compute.add(got["start"], base)
-                        if "ids" in got:
+                        if "ids" in got and "tokens binary" in schema:
+                            at = got["ids"].offsets.to_pylist()
+                            raw = got["ids"].values.to_numpy(zero_copy_only=False).astype("<u4", copy=False).tobytes()
+                            got["ids"] = pa.array([raw[4 * a : 4 * b] for a, b in zip(at, at[1:])], pa.binary())
+                        elif "ids" in got:
                             got["ids"] = got["ids"].cast(pa.list_(pa.int64()))
-                        yield pa.RecordBatch.from_arrays(list(got.values()), names=columns)
+                        yield pa.RecordBatch.from_arrays(list(got.values()), names=names)
 
     return based.repartition(max(1, manifest.count())).mapInArrow(read, schema)
 
@@ -126,22 +132,10 @@ def read_metadata(manifest: DataFrame) -> DataFrame:
     return _read(manifest, ["doc_id", "start", "n_tokens"], "doc_id long, start long, n_tokens long")
 
 
-def read_tokens(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids (array<long>) of every document."""
-    return _read(manifest, ["doc_id", "start", "n_tokens", "ids"], "doc_id long, start long, n_tokens long, ids array<long>")
-
-
-def ids_crc32(tokens: DataFrame) -> DataFrame:
-    """`ids` replaced by ids_crc32: the crc32 of the ids as little-endian unsigned 32-bit integers."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zlib
+def read_tokens(manifest: DataFrame, binary: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens and ids (array<long>) of every document.
 
-        for batch in batches:
-            lists = batch.column("ids")
-            raw = lists.values.to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-            at = lists.offsets.to_pylist()
-            crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return tokens.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    With `binary`, `tokens` comes in place of ids: the ids as little-endian unsigned 32-bit integers.
+    """
+    columns = ["doc_id", "start", "n_tokens", "ids"]
+    return _read(manifest, columns, "doc_id long, start long, n_tokens long, " + ("tokens binary" if binary else "ids array<long>"))

@@ -20,8 +20,8 @@ _PLAIN = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[0-9]|[^\s0-9{_LETTER
 _SPACED_SOURCE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 _PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
-#: Words kept by one memo; there are two generations, so about 0.2 GB a worker at the most.
-MEMO_WORDS = 400_000
+#: Words kept by one memo; there are two generations, so about 0.1 GB a worker at the most.
+MEMO_WORDS = 200_000
 LONGEST_KEPT = 64
 
 
