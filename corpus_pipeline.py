@@ -1,8 +1,62 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents to packed training sequences, in five stages.
 
-STAGES = []
+Each stage takes the session, the documents its predecessor kept, and the folder of the other tables.
+All but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.llm import chains, decontaminate, line_rules, packing, simhash
+from lectern.llm.queries import TOXICITY, tokenizer
+from lectern.session import table, written
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, without their hosts' frequent lines."""
+    judged = line_rules.judge(docs, keep=("lang", "source")).where("kept")
+    return judged.select("doc_id", F.col("clean_text").alias("text"), "lang", "source", F.length("clean_text").cast("long").alias("n_chars"))
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't toxic."""
+    chain = chains.fit_chain(docs, table(spark, sf_dir, "labels"), TOXICITY)
+    return chains.predict(docs, chain, list(TOXICITY), keep=COLUMNS[1:]).where("NOT is_toxic").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash.representatives(docs).select(*COLUMNS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.search(docs, table(spark, sf_dir, "benchmark"), keep=COLUMNS[1:]).where("NOT contaminated").select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences, with their ids."""
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"), end_id=2, capacity=4096)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("toxicity", toxicity),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packed),
+]
+#: Hashing, learned weights and subword merges are not SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of `sf_dir`, each written before the next begins."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import chains, langid, lbl, line_rules, ordinal, packing, simhash, token_io
+from lectern.llm import chains, decontaminate, langid, lbl, line_rules, ordinal, packing, simhash, token_io, warc
 from lectern.llm.common import split_remainder
 from lectern.session import table
 
@@ -17,6 +17,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.records(warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), data=False))
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_io.write_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), end_id=0)
     return token_io.read_tokens(manifest, binary=True).select("doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32"))
@@ -50,6 +54,10 @@ def op8_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal.predict(docs, ordinal.fit_ordinal(docs, table(spark, sf_dir, "labels"), "quality"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_ids")
+
+
 #: The chain's categories: a document's spam or gibberish shows in its wording, which helps to judge its tone.
 TOXICITY = {"junk": "1 - quality", "toxic": "toxic"}
 
@@ -60,5 +68,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chains.predict(docs, chain, list(TOXICITY)).withColumn("toxic", F.col("is_toxic"))
 
 
-QUERIES = {"op2_token_ids": op2_token_ids, "op3_lbl": op3_lbl, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_simhash": op6_simhash, "op7_line_rules": op7_line_rules, "op8_ordinal": op8_ordinal, "op10_toxicity": op10_toxicity}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_warc": op1_warc, "op2_token_ids": op2_token_ids, "op3_lbl": op3_lbl, "op4_packing": op4_packing, "op5_langid": op5_langid, "op6_simhash": op6_simhash, "op7_line_rules": op7_line_rules, "op8_ordinal": op8_ordinal, "op9_decontaminate": op9_decontaminate, "op10_toxicity": op10_toxicity}
+ORACLES = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+f AS (SELECT page_id, n, sha256(html) AS d, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
+    CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
+FROM f""",
+}
