@@ -1,14 +1,16 @@
-"""All queries of the core operators by name, with their SQL."""
+"""All queries of the core operators by name, with their SQL, and the flagship."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from lectern.functions import segment, speech, text
+from lectern.queries import ORACLES, QUERIES  # noqa: F401
+from lectern.session import table
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents from raw text to spoken chunks: cleaned, cut, weighted with pauses and verbalized."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.cleaned(F.col("text")).alias("text"))
+    return segment.chunks(docs, "text", 400).withColumn("spoken", speech.spoken(F.col("chunk")))

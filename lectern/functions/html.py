@@ -10,6 +10,7 @@ import re
 from html.parser import HTMLParser
 from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -220,8 +221,6 @@ def footnotes(html: str) -> dict:
 
 def html_text(html: Column, note_ids: Column | None = None, backrefs: Column | None = None) -> Column:
     """Block text of pages, before `text.extracted`; note ids come as arrays of a book's footnote index."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(pages: pd.Series, ids: pd.Series, refs: pd.Series) -> pd.Series:
         return pd.Series([None if p is None else blocks(p, frozenset(i), frozenset(r)) for p, i, r in zip(pages, ids, refs)])
@@ -231,8 +230,6 @@ def html_text(html: Column, note_ids: Column | None = None, backrefs: Column | N
 
 
 def note_facts(html: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("struct<note_ids: array<string>, note_source: boolean, links: array<struct<href: string, fragment: string>>>")
     def run(pages: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([footnotes(p or "") for p in pages], columns=["note_ids", "note_source", "links"])

@@ -11,29 +11,27 @@ SCALES = ["", "thousand", "million", "billion", "trillion"]
 _IRREGULAR = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
 
 
-def _pick(words: list[str], index: Column) -> Column:
-    return F.try_element_at(F.array(*(F.lit(w) for w in words)), (index + 1).cast("int"))
+def _under_thousand(n: int) -> str:
+    head, rest = divmod(n, 100)
+    low = SMALL[rest] if rest < 20 else TENS[rest // 10 - 2] + (f" {SMALL[rest % 10]}" if rest % 10 else "")
+    return f"{SMALL[head]} hundred" + (f" {low}" if rest else "") if head else low
 
 
-def _below_hundred(n: Column) -> Column:
-    tens, ones = F.floor(n / 10), n % 10
-    return F.when(n < 20, _pick(SMALL, n)).when(ones == 0, _pick(["", "", *TENS], tens)).otherwise(F.concat_ws(" ", _pick(["", "", *TENS], tens), _pick(SMALL, ones)))
+#: The phrases from 0 to 999, which every longer number is made of: one constant of the plan.
+PHRASES = [_under_thousand(n) for n in range(1000)]
 
 
-def _below_thousand(n: Column) -> Column:
-    hundreds, rest = F.floor(n / 100), n % 100
-    head = F.concat(_pick(SMALL, hundreds), F.lit(" hundred"))
-    return F.when(n < 100, _below_hundred(n)).when(rest == 0, head).otherwise(F.concat_ws(" ", head, _below_hundred(rest)))
+def _pick(words: list[str], index: Column) -> Column:
+    return F.try_element_at(F.array(*(F.lit(w) for w in words)), (index + 1).cast("int"))
 
 
 def int_words(n: Column, groups: int = 5) -> Column:
     """A whole number below 10^(3 * groups) in words; minus for negative ones."""
     size = F.abs(n)
-    parts = []
-    for k in reversed(range(groups)):
-        group = F.floor(size / F.lit(1000**k)) % 1000
-        parts.append(F.when(group > 0, F.concat_ws(" ", _below_thousand(group), F.lit(SCALES[k] or None))))
-    words = F.when(size == 0, F.lit("zero")).otherwise(F.concat_ws(" ", *parts))
+    parts = F.array(*(F.struct((F.floor(size / F.lit(1000**k)) % 1000).cast("int").alias("n"), F.lit(f" {SCALES[k]}" if k else "").alias("s")) for k in reversed(range(groups))))
+    phrases = F.array(*(F.lit(p) for p in PHRASES))
+    said = F.transform(F.filter(parts, lambda g: g["n"] > 0), lambda g: F.concat(F.try_element_at(phrases, g["n"] + 1), g["s"]))
+    words = F.when(size == 0, F.lit("zero")).otherwise(F.array_join(said, " "))
     return F.when(n < 0, F.concat(F.lit("minus "), words)).otherwise(words)
 
 
@@ -45,9 +43,9 @@ def digit_words(digits: Column) -> Column:
 def year_words(year: Column) -> Column:
     """A year from 1000 to 2099 as it is spoken; other numbers in plain words."""
     century, rest = F.floor(year / 100), year % 100
-    old = F.when(rest == 0, F.lit("hundred")).when(rest < 10, F.concat(F.lit("oh "), _below_hundred(rest))).otherwise(_below_hundred(rest))
-    new = F.when(rest == 0, F.lit("two thousand")).when(rest < 10, F.concat(F.lit("two thousand "), _below_hundred(rest))).otherwise(F.concat(F.lit("twenty "), _below_hundred(rest)))
-    return F.when((year < 1000) | (year > 2099), int_words(year)).when(year < 2000, F.concat_ws(" ", _below_hundred(century), old)).otherwise(new)
+    old = F.when(rest == 0, F.lit("hundred")).when(rest < 10, F.concat(F.lit("oh "), _pick(PHRASES[:100], rest))).otherwise(_pick(PHRASES[:100], rest))
+    new = F.when(rest == 0, F.lit("two thousand")).when(rest < 10, F.concat(F.lit("two thousand "), _pick(PHRASES[:100], rest))).otherwise(F.concat(F.lit("twenty "), _pick(PHRASES[:100], rest)))
+    return F.when((year < 1000) | (year > 2099), int_words(year)).when(year < 2000, F.concat_ws(" ", _pick(PHRASES[:100], century), old)).otherwise(new)
 
 
 def ordinal_words(n: Column) -> Column:
