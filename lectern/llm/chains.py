@@ -12,11 +12,11 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from lectern.llm.linear import BITS, SAMPLE, Design, adam, labelled, score, sigmoid
+from lectern.llm.linear import BITS, LEAST_ODDS, SAMPLE, Design, adam, labelled, score, sigmoid
 
 FOLDS = 3
 THRESHOLD = 0.5
-_STEPS, _RATE, _RIDGE = 120, 0.05, 1e-3
+_STEPS, _RATE, _RIDGE = 120, 0.06, 1e-3
 
 
 @dataclass
@@ -36,15 +36,18 @@ class Chain:
         return out
 
 
-def _fit(design: Design, earlier: np.ndarray, y: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
-    """Weights, bias and link weights from the rows where `rows` is 1."""
-    n, d, k = max(rows.sum(), 1), len(design.used), earlier.shape[1]
+def _fit(whole: Design, earlier: np.ndarray, y: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+    """Weights by feature number, bias and link weights from the rows where `rows` is 1."""
+    n, k = max(rows.sum(), 1), earlier.shape[1]
     if not 0 < (y * rows).sum() < rows.sum():  # one class alone: its rate for all
         p = np.clip((y * rows).sum() / n, 1e-4, 1 - 1e-4)
-        return np.zeros(d), float(np.log(p / (1 - p))), np.zeros(k)
-    with_, without = design.transposed(y * rows), design.transposed((1 - y) * rows)
+        return np.zeros(1 << BITS), float(np.log(p / (1 - p))), np.zeros(k)
+    with_, without = whole.transposed(y * rows), whole.transposed((1 - y) * rows)
     ratio = np.log((with_ + 0.5) / ((y * rows).sum() + 1)) - np.log((without + 0.5) / (((1 - y) * rows).sum() + 1))
     ratio[with_ + without == 0] = 0
+    chosen = np.abs(ratio) >= LEAST_ODDS
+    design, ratio = whole.only(chosen), ratio[chosen]
+    d = len(ratio)
 
     def gradient(x: np.ndarray) -> np.ndarray:
         w, bias, link = x[:d], x[d], x[d + 1 :]
@@ -53,7 +56,7 @@ def _fit(design: Design, earlier: np.ndarray, y: np.ndarray, rows: np.ndarray) -
 
     rate = (y * rows).sum() / n
     x = adam(gradient, np.concatenate([np.zeros(d), [np.log(rate / (1 - rate))], np.zeros(k)]), _STEPS, _RATE)
-    return x[:d] * ratio, float(x[d]), x[d + 1 :]
+    return design.full(x[:d] * ratio), float(x[d]), x[d + 1 :]
 
 
 def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], folds: int = FOLDS, sample: int = SAMPLE) -> Chain | None:
@@ -71,14 +74,14 @@ def fit_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, str], fo
     weights, biases, links = [], [], []
     for k in range(len(categories)):
         w, bias, link = _fit(design, earlier, y[:, k], all_rows)
-        weights.append(design.full(w))
+        weights.append(w)
         biases.append(bias)
         links.append(link)
         if k + 1 < len(categories):
             out_of_fold = np.zeros(rows)
             for f in range(folds):
                 w, bias, link = _fit(design, earlier, y[:, k], (fold != f).astype(float))
-                out_of_fold = np.where(fold == f, design.times(w) + bias + earlier @ link, out_of_fold)
+                out_of_fold = np.where(fold == f, design.times(w[design.used]) + bias + earlier @ link, out_of_fold)
             earlier = np.column_stack([earlier, np.clip(out_of_fold, -12, 12)])
     return Chain(list(categories), np.array(weights), np.array(biases), links)
 

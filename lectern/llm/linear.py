@@ -19,9 +19,11 @@ from lectern.llm.kernels import Words, sums, text_bytes
 
 BITS = 20
 #: Labelled documents that a model is fitted on, at the most.
-SAMPLE = 12_000
+SAMPLE = 6_000
 #: Features of fewer sample documents have no weight.
 LEAST_DOCS = 4
+#: So have features whose log odds are nearer to 0, which are most of any text's.
+LEAST_ODDS = 0.7
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
@@ -94,11 +96,9 @@ def labelled(docs: DataFrame, labels: DataFrame, columns: list[str], limit: int
 
     got = rows.mapInArrow(run, "doc_id long, key binary, " + ", ".join(f"{c} double" for c in y)).toArrow()
     order = np.argsort(got.column("doc_id").to_numpy())
-    raws = got.column("key").to_pylist()
-    raws = [raws[i] for i in order]
-    key = np.frombuffer(b"".join(raws), "<u4").astype(np.int64)
     values = np.stack([got.column(c).to_numpy()[order] for c in y], axis=1) if len(order) else np.zeros((0, len(y)))
-    return key, np.array([len(x) // 4 for x in raws], np.int64), values
+    raws = got.column("key").take(order).to_pylist() if len(order) else []
+    return np.frombuffer(b"".join(raws), "<u4").view(np.int32), np.array([len(x) // 4 for x in raws], np.int64), values
 
 
 class Design:
@@ -107,11 +107,21 @@ class Design:
     def __init__(self, key: np.ndarray, count: np.ndarray):
         seen = np.bincount(key, minlength=1 << BITS)
         used = np.flatnonzero(seen >= LEAST_DOCS)
-        column = np.full(1 << BITS, -1)
+        column = np.full(1 << BITS, -1, np.int32)
         column[used] = np.arange(len(used))
-        row = np.repeat(np.arange(len(count)), count)
-        kept = column[key] >= 0
-        self.used, self.column, self.row, self.rows = used, column[key][kept], row[kept], len(count)
+        column = column[key]
+        row = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        kept = column >= 0
+        self.used, self.column, self.row, self.rows = used, column[kept], row[kept], len(count)
+
+    def only(self, chosen: np.ndarray) -> "Design":
+        """The design of the columns where `chosen`; the others get no weight."""
+        part = object.__new__(Design)
+        number = np.where(chosen, np.cumsum(chosen) - 1, -1).astype(np.int32)
+        column = number[self.column]
+        kept = column >= 0
+        part.used, part.column, part.row, part.rows = self.used[chosen], column[kept], self.row[kept], self.rows
+        return part
 
     def times(self, weights: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, weights[self.column], self.rows)

@@ -11,10 +11,10 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from lectern.llm.linear import BITS, SAMPLE, Design, adam, labelled, score, sigmoid
+from lectern.llm.linear import BITS, LEAST_ODDS, SAMPLE, Design, adam, labelled, score, sigmoid
 
 THRESHOLD = 0.5
-_STEPS, _RATE, _RIDGE = 120, 0.05, 1e-3
+_STEPS, _RATE, _RIDGE = 120, 0.06, 1e-3
 COLUMNS = "expected_grade double, tail_probability double, selected boolean"
 
 
@@ -35,11 +35,14 @@ class Ordinal:
 
 
 def fit_thresholds(design: Design, y: np.ndarray, grades: int) -> tuple[np.ndarray, np.ndarray]:
-    """Feature weights and thresholds for y in 0..grades-1, by full-batch likelihood."""
-    n, d = len(y), len(design.used)
+    """Weights of the design's columns and thresholds for y in 0..grades-1, by full-batch likelihood."""
+    n = len(y)
     rates = np.array([(y > k).mean() for k in range(grades - 1)])
     start = -np.log(rates / (1 - rates))
     scale = sum(design.log_odds((y > k).astype(float)) for k in range(grades - 1)) / (grades - 1)
+    chosen = np.abs(scale) >= LEAST_ODDS
+    design, scale = design.only(chosen), scale[chosen]
+    d = len(scale)
 
     def thresholds(x: np.ndarray) -> np.ndarray:
         return np.concatenate([x[:1], x[0] + np.cumsum(np.exp(x[1:]))])
@@ -61,7 +64,9 @@ def fit_thresholds(design: Design, y: np.ndarray, grades: int) -> tuple[np.ndarr
 
     gaps = np.log(np.maximum(np.diff(start), 1e-3))
     x = adam(gradient, np.concatenate([np.zeros(d), start[:1], gaps]), _STEPS, _RATE)
-    return x[:d] * scale, thresholds(x[d:])
+    weights = np.zeros(len(chosen))
+    weights[chosen] = x[:d] * scale
+    return weights, thresholds(x[d:])
 
 
 def fit_ordinal(docs: DataFrame, labels: DataFrame, column: str = "quality", sample: int = SAMPLE) -> Ordinal | None:
