@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import doc_texts, rows_of
 from lectern.llm.kernels import text_bytes, xxh64
+from lectern.session import written
 
 K1, B = 1.2, 0.75
 PASSAGE, STRIDE = 64, 32
@@ -30,8 +31,8 @@ THRESHOLD = 0.4
 GRAM = 3
 #: Shares of the question's and of the answer's n-grams that make a leak; a short answer needs the question.
 QUESTION, ANSWER = 0.5, 0.5
-#: Bytes of items that may be broadcast. Beyond it the items are searched in parts, one scan each.
-PART_BYTES = 64 << 20
+#: Bytes of items that are indexed and broadcast at once; more are searched in parts, one scan of the documents each.
+PART_BYTES = 2 << 20
 
 _WORD = np.zeros(256, np.uint8)
 for _b in [*range(48, 58), *range(97, 123), *range(128, 256)]:
@@ -184,20 +185,37 @@ def passages(counts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return text, start, np.minimum(start + PASSAGE, (first + counts)[text])
 
 
-COLUMNS = "contaminated boolean, item_ids array<long>, candidates array<struct<item_id: long, score: double, question: double, answer: double, leak: boolean>>"
+_CANDIDATE = "struct<item_id: bigint, score: double, question: double, answer: double, leak: boolean>"
+_KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64()), ("leak", pa.bool_())]))
 
 
-def _parts(items: DataFrame) -> list[Index]:
-    """Indexes of all items, each of PART_BYTES of text at the most."""
-    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = -(-size // PART_BYTES) or 1
-    found = []
-    for k in range(parts):
-        some = rows if parts == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k)
-        got = some.orderBy("item_id", "text").toArrow()
-        found.append(build(got.column("item_id").to_pylist(), got.column("text").to_pylist()))
-    return found
+def _index(items: DataFrame, part: int, parts: int) -> Index:
+    some = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+    got = some.orderBy("item_id", "text").toArrow()
+    return build(got.column("item_id").to_pylist(), got.column("text").to_pylist())
+
+
+def _found(ix: Index, texts: pa.Array, threshold: float, question: float, answer: float) -> list[list[dict]]:
+    """The candidates of each text."""
+    terms = Terms(texts)
+    text, starts, stops = passages(terms.count, terms.first)
+    best: dict[tuple[int, int], dict] = {}
+    if len(ix.terms):
+        at = np.searchsorted(ix.terms, terms.hashes)
+        at[at == len(ix.terms)] = 0
+        numbers = np.where(ix.terms[at] == terms.hashes, at, -1)
+        for k, item, score in search_passages(ix, numbers, starts, stops, threshold):
+            i = int(text[k])
+            x = best.setdefault((i, item), {"item_id": ix.ids[item], "score": 0.0, "question": 0.0, "answer": 0.0, "leak": False})
+            x["score"] = max(x["score"], score)
+            if not x["leak"]:
+                low, high = max(terms.first[i], starts[k] - ix.longest), min(terms.first[i] + terms.count[i], stops[k] + ix.longest)
+                leak, q, r = verified(ix, item, terms.hashes[low:high], question, answer)
+                x |= {"leak": leak, "question": max(q, x["question"]), "answer": max(r, x["answer"])}
+    out: list[list[dict]] = [[] for _ in range(len(texts))]
+    for (i, _), x in best.items():
+        out[i].append(x)
+    return out
 
 
 def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -208,37 +226,22 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, ques
     are found each. Without items, or documents, nothing is found. Items of more than PART_BYTES are indexed in
     parts, of which each has its own term statistics; every passage is searched against all parts.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(_parts(items))
-    rows = doc_texts(docs, *(F.col(c).alias(f"_keep_{c}") for c in keep))
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64()), ("leak", pa.bool_())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = shared.value
-        for batch in rows_of(batches):
-            terms = Terms(batch.column("text"))
-            text, starts, stops = passages(terms.count, terms.first)
-            out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for ix in indexes:
-                if not len(ix.terms):
-                    continue
-                at = np.searchsorted(ix.terms, terms.hashes)
-                at[at == len(ix.terms)] = 0
-                numbers = np.where(ix.terms[at] == terms.hashes, at, -1)
-                best: dict[tuple[int, int], dict] = {}
-                for k, item, score in search_passages(ix, numbers, starts, stops, threshold):
-                    i = int(text[k])
-                    x = best.setdefault((i, item), {"item_id": ix.ids[item], "score": 0.0, "question": 0.0, "answer": 0.0, "leak": False})
-                    x["score"] = max(x["score"], score)
-                    if not x["leak"]:
-                        low, high = max(terms.first[i], starts[k] - ix.longest), min(terms.first[i] + terms.count[i], stops[k] + ix.longest)
-                        leak, q, r = verified(ix, item, terms.hashes[low:high], question, answer)
-                        x |= {"leak": leak, "question": max(q, x["question"]), "answer": max(r, x["answer"])}
-                for (i, _), x in best.items():
-                    out[i].append(x)
-            for found in out:
-                found.sort(key=lambda x: (x["item_id"] is None, x["item_id"] or 0, -x["score"]))
-            leaked = [[x["item_id"] for x in found if x["leak"]] for found in out]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(f"_keep_{c}") for c in keep), pa.array([bool(x) for x in leaked]), pa.array(leaked, pa.list_(pa.int64())), pa.array(out, kind)], names=["doc_id", *keep, "contaminated", "item_ids", "candidates"])
-
-    kinds = "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in keep)
-    return rows.mapInArrow(run, f"doc_id long{kinds}, {COLUMNS}")
+    spark = docs.sparkSession
+    pool = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    parts = -(-(pool.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES) or 1
+    rows = doc_texts(docs, *(F.col(c).alias(f"_keep_{c}") for c in keep), F.array().cast(f"array<{_CANDIDATE}>").alias("candidates"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    for part in range(parts):
+        shared = spark.sparkContext.broadcast(_index(pool, part, parts))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in rows_of(batches):
+                found = _found(shared.value, batch.column("text"), threshold, question, answer)
+                both = [old + new for old, new in zip(batch.column("candidates").to_pylist(), found)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(both, _KIND)], names=batch.schema.names)
+
+        rows = rows.mapInArrow(run, kinds)
+        if part + 1 < parts:
+            rows = written(rows, "searched")
+    leaks = F.array_sort(F.transform(F.filter("candidates", lambda x: x["leak"]), lambda x: x["item_id"]))
+    return rows.select("doc_id", *(F.col(f"_keep_{c}").alias(c) for c in keep), (F.size(leaks) > 0).alias("contaminated"), leaks.alias("item_ids"), "candidates")

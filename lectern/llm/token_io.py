@@ -61,10 +61,10 @@ def write_tokens(
             nonlocal writer, path, held, total
             if writer is None:
                 files.create_dir(root, recursive=True)
-                path = f"{root}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.parquet"
+                path = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.parquet"
                 delta = {"column_encoding": {"ids.list.element": "DELTA_BINARY_PACKED", "start": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED"}, "use_dictionary": False}
                 plain = {"use_dictionary": ["ids.list.element"], "dictionary_pagesize_limit": 1 << 20}
-                writer = pq.ParquetWriter(files.open_output_stream(path), FILE, compression="zstd", compression_level=1, write_page_index=True, data_page_size=page_bytes, **(delta if encoding == "delta" else plain))
+                writer = pq.ParquetWriter(files.open_output_stream(f"{root}/{path}"), FILE, compression="zstd", compression_level=1, write_page_index=True, data_page_size=page_bytes, **(delta if encoding == "delta" else plain))
             lengths = np.array([len(x) // 4 for x in ids_of], np.int64)
             ends = np.cumsum(lengths)
             flat = pa.array(np.frombuffer(b"".join(ids_of), "<u4"))
@@ -91,13 +91,7 @@ def write_tokens(
             yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId(), "path": path, "n_docs": n_docs, "n_tokens": total, "first_doc": first, "last_doc": last}], schema=pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_doc", pa.int64()), ("last_doc", pa.int64())]))
 
     ordered = doc_texts(docs).withColumn("_tie", F.xxhash64("text")).repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie").drop("_tie")
-    return written(ordered.mapInArrow(write, MANIFEST).withColumn("path", F.concat(F.lit(_scheme(folder)), "path")), "token-manifest")
-
-
-def _scheme(uri: str) -> str:
-    """What a path lacks of its URI: FileSystem.from_uri drops the scheme, and file systems want it so."""
-    scheme = uri.split(":", 1)[0] if ":" in uri else "file"
-    return f"{scheme}://"
+    return written(ordered.mapInArrow(write, MANIFEST).withColumn("path", F.concat(F.lit(folder.rstrip("/") + "/"), "path")), "token-manifest")
 
 
 def _read(manifest: DataFrame, columns: list[str], schema: str) -> DataFrame:

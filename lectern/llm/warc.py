@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import small_batches
-from lectern.llm.token_io import _scheme, filesystem
+from lectern.llm.token_io import filesystem
 from lectern.plans.skew import salted_lookup
 from lectern.session import shared_path, written
 
@@ -105,8 +105,8 @@ def write_archives(pages: DataFrame, chunk: int = CHUNK, least_bytes: int = LEAS
             for r in batch.to_pylist():
                 if out is None:
                     files.create_dir(root, recursive=True)
-                    path = f"{root}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.warc.gz"
-                    out = files.open_output_stream(path, compression=None)
+                    path = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.warc.gz"
+                    out = files.open_output_stream(f"{root}/{path}", compression=None)
                 if r["chunk_no"] == 0:
                     close()
                     member, digest = zlib.compressobj(level, zlib.DEFLATED, 31), hashlib.sha256()
@@ -122,7 +122,7 @@ def write_archives(pages: DataFrame, chunk: int = CHUNK, least_bytes: int = LEAS
             yield pa.RecordBatch.from_pylist([{"path": path, "n_records": records, "n_bytes": size}], schema=pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())]))
 
     rows = small_batches(record_rows(pages, chunk, least_bytes).sortWithinPartitions("_row", "chunk_no"))
-    manifest = rows.mapInArrow(write, "path string, n_records long, n_bytes long").withColumn("path", F.concat(F.lit(_scheme(folder)), "path"))
+    manifest = rows.mapInArrow(write, "path string, n_records long, n_bytes long").withColumn("path", F.concat(F.lit(folder.rstrip("/") + "/"), "path"))
     return written(manifest, "warc-manifest")
 
 

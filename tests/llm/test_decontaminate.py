@@ -81,7 +81,7 @@ def test_documents(spark):
     assert de.search(docs.limit(0), items).collect() == []
     part = de.PART_BYTES
     try:
-        de.PART_BYTES = 2000
+        de.PART_BYTES = 9000
         again = {(r.doc_id, tuple(r.item_ids)) for r in de.search(docs, items).collect()}
         assert again == {(r.doc_id, tuple(r.item_ids)) for r in got}
     finally:
