@@ -27,7 +27,8 @@ _MARKER = re.compile(r"\d{1,4}[a-z]?[.)]?", re.I)
 _NUMERIC = re.compile(NUMERIC_HEADING)
 _ROLE = {"title", "subtitle", "heading", "bridgehead"}
 _TYPE = {"title", "subtitle", "part", "chapter", "bridgehead"}
-_CLASS = {"title", "subtitle", "heading", "bridgehead", "chaptertitle"}
+_CLASS = {"title", "subtitle", "subheading", "section", "part", "heading", "chapter", "book"}
+_CLASS_PART = re.compile("(?i)(?:^|[-_:])(?:(?:(?:book|part|section|chapter)?(?:sub)?title)|(?:sub)?heading)(?:$|[-_:])")
 
 
 class Node:
@@ -110,7 +111,10 @@ def fragment(href: str) -> str:
 
 
 def is_heading(node: Node) -> bool:
-    classes = tokens(node.attrs.get("class", "")) | tokens(node.attrs.get("id", ""))
+    said = [*node.attrs.get("class", "").split(), node.attrs.get("id", "")]
+    classes = set().union(*map(tokens, said))
+    if any(map(_CLASS_PART.search, said)):
+        return True
     return node.name in HEADINGS or bool(tokens(node.attrs.get("role", "")) & _ROLE or tokens(node.attrs.get("epub:type", "")) & _TYPE or classes & _CLASS)
 
 

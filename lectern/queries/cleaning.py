@@ -240,7 +240,7 @@ def _(t):
 
 @query(
     "a3_case_map",
-    r"""WITH w AS (SELECT source, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS word FROM documents),
+    r"""WITH w AS (SELECT source, unnest(regexp_extract_all(text, '\p{L}(?:\p{L}|[''’-])*')) AS word FROM documents),
     v AS (SELECT source, lower(word) AS k, word, count(*) AS n FROM w WHERE upper(word) <> word GROUP BY ALL)
     SELECT source, k, word AS best, n FROM (SELECT *, row_number() OVER (PARTITION BY source, k ORDER BY n DESC, CASE WHEN regexp_matches(word, '^[A-Z].*[a-z]') THEN 3 WHEN lower(word) = word THEN 2 ELSE 1 END DESC, word) AS r FROM v) WHERE r = 1""",
 )
