@@ -77,4 +77,22 @@ SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest,
     CASE WHEN n >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
     CASE WHEN n >= 100 AND first <> page_id THEN first END AS refers_to
 FROM f""",
+    "op7_line_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS host FROM documents),
+w AS (SELECT doc_id, host, t, list_filter(string_split_regex(t, '[\x20\x09-\x0d]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0d]')) AS ls FROM d),
+n AS (SELECT doc_id, host, t, ws, ls, list_transform(ls, lambda x: trim(regexp_replace(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0d]+', ' ', 'g'))) AS ns FROM w),
+i AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_zip(ws, ws[2:], ws[3:])[:len(ws) - 2]) AS key FROM w WHERE len(ws) >= 3),
+k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, key) AS c FROM i),
+r AS (SELECT doc_id, count(DISTINCT j) AS repeated FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM k WHERE c > 1) GROUP BY doc_id),
+u AS (SELECT DISTINCT host, ns FROM n),
+h AS (SELECT host, count(*) AS docs FROM u GROUP BY host),
+f AS (SELECT host, line FROM (SELECT host, line, count(*) AS c FROM (SELECT host, unnest(list_distinct(ns)) AS line FROM u) GROUP BY host, line) JOIN h USING (host) WHERE c > 20 AND c > 0.05 * docs),
+g AS (SELECT doc_id, count(*) AS removed_lines, sum(words) AS removed_words FROM (SELECT doc_id, host, unnest(ns) AS line, len(string_split(line, ' ')) AS words FROM n) JOIN f USING (host, line) GROUP BY doc_id),
+m AS (SELECT n.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(repeated, 0)::BIGINT AS n_repeat_words, coalesce(removed_lines, 0)::BIGINT AS removed_lines, coalesce(removed_words, 0)::BIGINT AS removed_words
+    FROM n LEFT JOIN r USING (doc_id) LEFT JOIN g USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed_words >= 0.5 * n_words AS kept FROM m""",
 }
