@@ -45,7 +45,7 @@ def _fit(whole: Design, earlier: np.ndarray, y: np.ndarray, rows: np.ndarray) ->
     with_, without = whole.transposed(y * rows), whole.transposed((1 - y) * rows)
     ratio = np.log((with_ + 0.5) / ((y * rows).sum() + 1)) - np.log((without + 0.5) / (((1 - y) * rows).sum() + 1))
     ratio[with_ + without == 0] = 0
-    chosen = np.abs(ratio) >= LEAST_ODDS
+    chosen = ratio >= LEAST_ODDS  # a category is told by what speaks for it; else long texts add up to a no
     design, ratio = whole.only(chosen), ratio[chosen]
     d = len(ratio)
 

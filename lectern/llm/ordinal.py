@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 
 from lectern.llm.linear import BITS, LEAST_ODDS, SAMPLE, Design, adam, labelled, score, sigmoid
 
-THRESHOLD = 0.5
+#: Tail probability from which a document is selected: in doubt it is kept.
+THRESHOLD = 0.3
 _STEPS, _RATE, _RIDGE = 120, 0.06, 1e-3
 COLUMNS = "expected_grade double, tail_probability double, selected boolean"
 
@@ -40,7 +41,9 @@ def fit_thresholds(design: Design, y: np.ndarray, grades: int) -> tuple[np.ndarr
     rates = np.array([(y > k).mean() for k in range(grades - 1)])
     start = -np.log(rates / (1 - rates))
     scale = sum(design.log_odds((y > k).astype(float)) for k in range(grades - 1)) / (grades - 1)
-    chosen = np.abs(scale) >= LEAST_ODDS
+    # on a lopsided scale, only what speaks for the rarer end; else long texts add up to the commoner one
+    level = np.mean(y) / (grades - 1)
+    chosen = (np.abs(scale) if 0.3 <= level <= 0.7 else scale if level < 0.3 else -scale) >= LEAST_ODDS
     design, scale = design.only(chosen), scale[chosen]
     d = len(scale)
 
