@@ -16,19 +16,24 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import NUMERIC_HEADING
 
+#: Parts of patterns: a digit, a capital, a letter, blanks, any white space.
+D = r"\d"
+B = r"[ \t]"
+S = r"\s"
+
 HEADINGS = frozenset(f"h{n}" for n in range(1, 7))
 BLOCKS = HEADINGS | {"blockquote", "pre", "li", "p"}
 _VOID = frozenset("wbr track source param meta link input img hr embed col br base area".split())
 _GONE = frozenset("noscript aside footer nav style script sup".split())
 _BOXES = frozenset("li ul ol aside div section p".split())
 _ENDS_P = BLOCKS | {"section", "div", "ol", "ul", "table", "header", "article", "aside", "nav", "footer"}
-_NOTE_ID = re.compile(r"(?:footnote|fnref|fn|endnote|noteref|note|en)[a-z0-9._:-]*|(?:en|n)\d+[a-z]?")
-_MARKER = re.compile(r"\d{1,4}[a-z]?[.)]?", re.I)
+_NOTE_ID = re.compile(rf"(?:footnote|fnref|fn|endnote|noteref|note|en)[-:._a-z0-9]*|(?:en|n){D}+[a-z]?")
+_MARKER = re.compile(r"[0-9]{1,4}[a-z]?[).]?", re.I)
 _NUMERIC = re.compile(NUMERIC_HEADING)
 _ROLE = {"title", "subtitle", "heading", "bridgehead"}
 _TYPE = {"title", "subtitle", "part", "chapter", "bridgehead"}
 _CLASS = {"title", "subtitle", "subheading", "section", "part", "heading", "chapter", "book"}
-_CLASS_PART = re.compile("(?i)(?:^|[-_:])(?:(?:(?:book|part|section|chapter)?(?:sub)?title)|(?:sub)?heading)(?:$|[-_:])")
+_CLASS_PART = re.compile("(?i)(?:^|[:_-])(?:(?:(?:book|part|section|chapter)?(?:sub)?title)|(?:sub)?heading)(?:[:_-]|$)")
 
 
 class Node:
@@ -122,7 +127,7 @@ def list_number(item: Node) -> int | None:
     """An ordered list item's number: `start` and `value` count, and reset what follows."""
     if not item.parent or item.parent.name != "ol":
         return None
-    whole = lambda s, default: int(s) if re.fullmatch(r"\s*[+-]?\d+\s*", s or "") else default
+    whole = lambda s, default: int(s) if re.fullmatch(rf"{S}*[+-]?{D}+{S}*", s or "") else default
     number = whole(item.parent.attrs.get("start"), 1)
     for kid in item.parent.kids:
         if isinstance(kid, Node) and kid.name == "li":
@@ -136,8 +141,8 @@ def list_number(item: Node) -> int | None:
 def _block_text(node: Node) -> str:
     text = node.text().replace("\xa0", " ")
     if node.name == "pre":
-        text = re.sub(r"[ \t]+\n", "\n", text.replace("\0", "\n"))
-        text = re.sub(r"[ \t]{2,}", " ", _clamp(text))
+        text = re.sub(rf"{B}+\n", "\n", text.replace("\0", "\n"))
+        text = re.sub(rf"{B}{{2,}}", " ", _clamp(text))
     else:
         text = _clamp("\n".join(" ".join(part.split()) for part in text.split("\0")))
     return text.strip()
@@ -199,7 +204,7 @@ def footnotes(html: str) -> dict:
             ids.add(node.id)
             source = True
         if node.name in _BOXES | {"td"}:
-            marked |= bool(re.search(r"(?:^|[\s_-])(?:(?:foot|end)?notes?)\d*(?:$|[\s_-])", classes))
+            marked |= bool(re.search(rf"(?:^|[{S}_-])(?:(?:foot|end)?notes?){D}*(?:$|[{S}_-])", classes))
             if "footnote" in classes or "endnote" in classes:
                 ids |= {node.id} - {""}
                 source = True

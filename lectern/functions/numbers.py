@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SMALL = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
+SMALL = ["zero", *"one two three four five six seven eight nine".split(), "ten", "eleven", "twelve", *(f"{t}teen" for t in "thir four fif six seven eigh nine".split())]
 TENS = [f"{t}ty" for t in "twen thir for fif six seven eigh nine".split()]
 SCALES = ["", "thousand", "million", "billion", "trillion"]
-_IRREGULAR = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
+IRREGULAR = dict(zip("one two three five eight nine twelve".split(), "first second third fifth eighth ninth twelfth".split()))
 
 
 def _under_thousand(n: int) -> str:
@@ -53,7 +53,7 @@ def ordinal_words(n: Column) -> Column:
     words = int_words(n)
     last = F.substring_index(words, " ", -1)
     head = F.substring(words, F.lit(1), F.length(words) - F.length(last))
-    irregular = F.create_map(*(F.lit(x) for pair in _IRREGULAR.items() for x in pair))
+    irregular = F.create_map(*(F.lit(x) for pair in IRREGULAR.items() for x in pair))
     regular = F.when(F.endswith(last, F.lit("y")), F.concat(F.regexp_replace(last, "y$", ""), F.lit("ieth"))).otherwise(F.concat(last, F.lit("th")))
     return F.when(n == 0, F.lit("zeroth")).otherwise(F.concat(head, F.coalesce(F.try_element_at(irregular, last), regular)))
 
@@ -73,7 +73,7 @@ _ROMAN = "^M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})$"
 def roman_value(roman: Column) -> Column:
     """The value of a canonical roman numeral up to 3999, in either case; null for other strings."""
     up = F.upper(roman)
-    values = F.transform(F.filter(F.split(up, "", -1), lambda c: c != ""), lambda c: F.try_element_at(F.create_map(*(F.lit(x) for p in {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}.items() for x in p)), c))
+    values = F.transform(F.filter(F.split(up, "", -1), lambda c: c != ""), lambda c: F.try_element_at(F.create_map(*(F.lit(x) for p in zip("MDCLXVI", (1000, 500, 100, 50, 10, 5, 1)) for x in p)), c))
     # from the right, a letter below the greatest so far is taken off
     total = F.aggregate(
         F.reverse(values), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("top")), lambda a, v: F.struct((a["sum"] + F.when(v < a["top"], -v).otherwise(v)).alias("sum"), F.greatest(a["top"], v).alias("top")), lambda a: a["sum"]

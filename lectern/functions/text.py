@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 APOSTROPHES = "\u02bc\u2018\u2019"
 DOUBLE_QUOTES = "\u201c\u201d\u201e\u201f\u00ab\u00bb"
-FORMAT_CHARS = "[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2069\ufeff]"
+FORMAT_CHARS = "[\ufeff\u2060-\u2069\u202a-\u202e\u200b-\u200f\u00ad]"
 _FIVE, _THREE = "\u0001", "\u0002"
 
 ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -161,7 +161,7 @@ def title_case_word(word: Column) -> Column:
 def file_title(name: Column) -> Column:
     """A title from a file's name: no folder, suffix or leading number, blanks for _ and -."""
     stem = _sub(F.substring_index(name, "/", -1), "(?<=.)[.][^.]*$", "")
-    bare = strip(F.translate(_sub(stem, "^[0-9]+[-_ ]+", ""), "_-", "  "))
+    bare = strip(F.translate(_sub(stem, "^[0-9]+[ _-]+", ""), "_-", "  "))
     return F.when(bare == "", stem).otherwise(bare)
 
 

@@ -50,6 +50,7 @@ def tag_map(values: dict[str, Column]) -> Column:
 
 def cover_suffix(media: Column, href: Column) -> Column:
     """A cover's file suffix: by its media type, else its link's own, else .jpg."""
-    known = F.create_map(*(F.lit(x) for p in {"image/webp": ".webp", "image/gif": ".gif", "image/png": ".png", "image/jpg": ".jpg", "image/jpeg": ".jpg"}.items() for x in p))
+    kind = F.regexp_extract(F.lower(media), "^image/(webp|gif|png|jpe?g)$", 1)
+    known = F.when(kind != "", F.concat(F.lit("."), F.regexp_replace(kind, "jpeg", "jpg")))
     own = F.lower(F.regexp_extract(href, "([.][A-Za-z0-9]+)$", 1))
-    return F.coalesce(F.try_element_at(known, F.lower(media)), F.nullif(own, F.lit("")), F.lit(".jpg"))
+    return F.coalesce(known, F.nullif(own, F.lit("")), F.lit(".jpg"))

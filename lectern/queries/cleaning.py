@@ -139,7 +139,7 @@ def _(t):
     return joined.select("doc_id", F.col("raw").isNull().alias("dropped"), F.when(F.col("raw").isNull(), F.lit("missing_raw")).otherwise("").alias("reason"))
 
 
-@query("f4_note_markers", "SELECT doc_id, m, regexp_matches(m, '^[0-9]{1,4}[A-Za-z]?[.)]?$') AS marker, regexp_matches(lower(m), '^((fn|footnote|endnote|note|noteref|fnref|en)[a-z0-9._:-]*|(n|en)[0-9]+[a-z]?)$') AS note_id FROM (SELECT doc_id, ['12', '7a.', '12345', 'fn3', 'N12', 'noteref-4', 'x', '3)', ''][1 + doc_id % 9] AS m FROM documents)")
+@query("f4_note_markers", "SELECT doc_id, m, regexp_matches(m, '^[0-9]{1,4}[A-Za-z]?[).]?$') AS marker, regexp_matches(lower(m), '^((note|noteref|en|endnote|fnref|fn|footnote)[-:._a-z0-9]*|(en|n)[0-9]+[a-z]?)$') AS note_id FROM (SELECT doc_id, ['12', '7a.', '12345', 'fn3', 'N12', 'noteref-4', 'x', '3)', ''][1 + doc_id % 9] AS m FROM documents)")
 def _(t):
     m = F.expr("element_at(array('12', '7a.', '12345', 'fn3', 'N12', 'noteref-4', 'x', '3)', ''), int(1 + doc_id % 9))")
     return t.documents.select("doc_id", m.alias("m")).select("doc_id", "m", rules.is_note_marker(F.col("m")).alias("marker"), rules.is_note_id(F.col("m")).alias("note_id"))

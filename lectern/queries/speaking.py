@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lectern.functions import numbers, segment, speech
 from lectern.queries.registry import query
 
-ONES = "['zero','one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen']"
+ONES = "[" + ", ".join(f"'{w}'" for w in numbers.SMALL) + "]"
 TENS = "['twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety']"
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BOOK = (
-    "book_id string, error string, metadata struct<title: string, authors: array<string>, language: string, dates: array<string>, year: string, cover: string>, "
+    "book_id string, error string, metadata struct<title: string, cover: string, year: string, dates: array<string>, language: string, authors: array<string>>, "
     "items array<struct<item_id: string, href: string, media_type: string, content: binary>>, spine array<string>, toc array<struct<title: string, href: string>>"
 )
 
@@ -78,7 +78,7 @@ def parse(raw: bytes) -> dict:
         dates = said.get("date", [])
         year = next((m[0] for d in dates if (m := re.search(r"\d{4}", d))), "")
         return {
-            "metadata": {"title": (said.get("title") or [""])[0], "authors": said.get("creator", []), "language": (said.get("language") or [""])[0], "dates": dates, "year": year, "cover": _cover(metas, items)},
+            "metadata": {"title": (said.get("title") or [""])[0], "cover": _cover(metas, items), "year": year, "dates": dates, "language": (said.get("language") or [""])[0], "authors": said.get("creator", [])},
             "items": [{k: i[k] for k in ("item_id", "href", "media_type", "content")} for i in items], "spine": spine, "toc": toc,
         }
 
