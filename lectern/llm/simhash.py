@@ -49,7 +49,8 @@ def links(classes: DataFrame) -> DataFrame:
     differ = F.col("x").bitwiseXOR(F.col("y"))
     low = differ.bitwiseAND(F.bitwise_not(differ) + F.lit(1))  # the lowest differing bit
     met_at = F.when(F.bit_count(differ) == 1, F.col("x")).otherwise(F.col("x").bitwiseXOR(low))
-    return left.join(right, "variant").where((F.col("x") < F.col("y")) & (F.bit_count(differ) <= 2) & (F.col("variant") == met_at)).select("x", "y")
+    # a table that is small before it is exploded must not be taken for a small side of the join
+    return left.join(right.hint("merge"), "variant").where((F.col("x") < F.col("y")) & (F.bit_count(differ) <= 2) & (F.col("variant") == met_at)).select("x", "y")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -79,8 +80,8 @@ def representatives(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each component: that with the smallest doc_id, all columns kept.
 
     Rows that repeat the representative's doc_id are one document and leave one row. Rows without a
-    doc_id can't be named as copies and stay.
+    doc_id can't be named as copies and stay. The list of kept ids grows with the input, so it is never broadcast.
     """
     named = docs.where(F.col("doc_id").isNotNull())
     kept = near_duplicates(named).where("doc_id = component_id").select("doc_id").distinct()
-    return named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    return named.join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
