@@ -19,7 +19,7 @@ from lectern.llm.kernels import Words, sums, text_bytes
 
 BITS = 20
 #: Labelled documents that a model is fitted on, at the most.
-SAMPLE = 6_000
+SAMPLE = 4_000
 #: Features of fewer sample documents have no weight.
 LEAST_DOCS = 4
 #: So have features whose log odds are nearer to 0, which are most of any text's.
@@ -41,14 +41,19 @@ def _distinct(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct feature numbers of each text, one text's after the other's, and how many each has."""
+def features(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct feature numbers of each text, one text's after the other's, and how many each has.
+
+    With `wanted`, a flag for each feature number, the others are left out before any sorting.
+    """
     words = Words(*text_bytes(texts))
     many = len(texts)
     doc = np.repeat(np.arange(many), words.count)
     if not len(doc):
         shapes = np.zeros(many, np.uint64)
-        return _hashed(shapes, 7), np.ones(many, np.int64)
+        key, doc = _hashed(shapes, 7), np.arange(many)
+        kept = np.ones(many, bool) if wanted is None else wanted[key]
+        return key[kept], np.bincount(doc[kept], minlength=many)
     h = words.hashes()
     with np.errstate(over="ignore"):
         own = h ^ (doc.astype(np.uint64) * _MIX)
@@ -72,6 +77,9 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for kind, value in ((7, np.log2(n + 1)), (8, 16 * kinds / n), (9, 40 * marks / letters)):
         docs.append(np.arange(many))
         keys.append(_hashed(value.astype(np.uint64), kind))
+    if wanted is not None:
+        kept = [wanted[k] for k in keys]
+        docs, keys = [d[m] for d, m in zip(docs, kept)], [k[m] for k, m in zip(keys, kept)]
     doc, key = _distinct(np.concatenate(docs), np.concatenate(keys))
     return key, np.bincount(doc, minlength=many)
 
@@ -84,7 +92,11 @@ def labelled(docs: DataFrame, labels: DataFrame, columns: list[str], limit: int
     """
     chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("double").alias(f"_y{i}") for i, c in enumerate(columns))).dropna()
     y = [f"_y{i}" for i in range(len(columns))]
-    chosen = chosen.groupBy("doc_id").agg(F.min(F.struct(*y)).alias("_y")).select("doc_id", "_y.*").orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+    chosen = chosen.groupBy("doc_id").agg(F.min(F.struct(*y)).alias("_y")).select("doc_id", "_y.*")
+    # the least hashes: a share a little above the limit goes to the final sort, however many labels there are
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    share = min(1.0, (1.2 * limit + 200) / max(1, labels.count()))
+    chosen = chosen.where(place < int(share * (1 << 40))).orderBy(place, "doc_id").limit(limit)
     rows = doc_texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *y).agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,6 +110,8 @@ def labelled(docs: DataFrame, labels: DataFrame, columns: list[str], limit: int
     order = np.argsort(got.column("doc_id").to_numpy())
     values = np.stack([got.column(c).to_numpy()[order] for c in y], axis=1) if len(order) else np.zeros((0, len(y)))
     raws = got.column("key").take(order).to_pylist() if len(order) else []
+    del got
+    pa.default_memory_pool().release_unused()
     return np.frombuffer(b"".join(raws), "<u4").view(np.int32), np.array([len(x) // 4 for x in raws], np.int64), values
 
 
@@ -166,10 +180,11 @@ def score(docs: DataFrame, weights: np.ndarray, finish, schema: str, keep: tuple
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
+        wanted = (w != 0).any(1)
         for batch in rows_of(batches):
-            key, count = features(batch.column("text"))
-            ends = np.cumsum(count)
-            products = np.add.reduceat(w[key], ends - count, axis=0, dtype=np.float64)  # every text has a feature
+            key, count = features(batch.column("text"), wanted)
+            doc = np.repeat(np.arange(len(count)), count)
+            products = np.stack([np.bincount(doc, w[key, k], len(count)) for k in range(w.shape[1])], axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(f"_keep_{c}") for c in keep), *(pa.array(x) for x in finish(products))], names=["doc_id", *keep, *names])
 
     kinds = "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in keep)
