@@ -129,11 +129,19 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def gather(counts: DataFrame, head: int = HEAD) -> Vocabulary:
-    """The vocabulary of a table of `count_words`."""
+    """The vocabulary of a table of `count_words`: the words from some count on, at most `head` of them."""
     docs = counts.where("bucket = -1").agg(F.sum("n")).first()[0] or 0
     words = counts.where("bucket >= 0")
-    total, types = words.agg(F.sum("n"), F.count("*")).first()
-    top = words.orderBy(F.desc("n"), "h").limit(head).toArrow()
+    # a histogram of the counts on a logarithmic scale tells from which count on there are at most `head` words
+    step = F.floor(F.log2("n") * 32).cast("int")
+    bins = words.groupBy(step.alias("step")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).orderBy(F.desc("step")).collect()
+    total, types, least, taken = sum(r.n for r in bins), sum(r.words for r in bins), 1 << 30, 0
+    for r in bins:
+        taken += r.words
+        if taken > head:
+            break
+        least = r.step
+    top = words.where(step >= least).toArrow()
     h, n, bucket = (top.column(c).to_numpy() for c in ("h", "n", "bucket"))
     rank = np.lexsort((h, -n))
     classes = np.full(len(h), -1, np.int64)
@@ -147,7 +155,7 @@ def gather(counts: DataFrame, head: int = HEAD) -> Vocabulary:
         mass[SINGLES + b] += s
     np.subtract.at(mass, SINGLES + bucket[single], n[single] + 1.0)
     order = np.argsort(h.view(np.uint64))
-    return Vocabulary(h.view(np.uint64)[order], n[order].astype(np.int64), classes[order], int(total or 0) + docs, int(types or 0) + (docs > 0), int(docs), mass)
+    return Vocabulary(h.view(np.uint64)[order], n[order].astype(np.int64), classes[order], int(total) + docs, int(types) + (docs > 0), int(docs), mass)
 
 
 class Sequences:
@@ -319,7 +327,7 @@ def score(docs: DataFrame, train_rows: Column, *more: Column, rounds: int = 1, h
     scored = written(score_texts(docs, vocabulary, w, list(more)), "scored")
     words = counts.where("bucket >= 0").select("h", F.col("n").alias("c"))
     # an unknown word adds nothing: log10(0 + 1)
-    rare = scored.select("row", F.explode("tail").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k")).join(words, "h")
+    rare = scored.select("row", F.explode("tail").alias("h")).groupBy("row", "h").agg(F.count("*").alias("k")).join(words.hint("merge"), "h")
     rare = rare.groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("c") + 1.0)).alias("added"))
     names = [c for c in scored.columns if c not in {x.split()[0] for x in COLUMNS.split(", ")}]
     out = scored.drop("tail").join(rare, "row", "left")
