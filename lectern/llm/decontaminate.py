@@ -2,11 +2,14 @@
 
 Every passage of every training text is a query. A term's impact on an item is its BM25 weight divided by
 the item's score against itself, so that a passage scores the matched share of an item, and one threshold
-holds for all items. Postings lie in blocks of item order, each with its greatest impact. The pivot tests
-of WAND are made for many passages at once: a passage whose terms' greatest impacts don't add up to the
-threshold is skipped, as are blocks whose greatest impacts don't; the items of what is left are scored in full. Found items are verified by the share of their question's and answer's word
-n-grams that the text around the passage holds. The search is exact: all items at or above the threshold
-are found, with any number of blocks.
+holds for all items. No passage can hold much of an item that is far longer than it, so items of more than
+PASSAGE terms are indexed as a whole and as overlapping segments of PASSAGE terms, each scored as an item of
+its own; an item's score is the best of these, and it is always verified as a whole. Postings lie in blocks
+of item order, each with its greatest impact. The pivot tests of WAND are made for many passages at once: a
+passage whose terms' greatest impacts don't add up to the threshold is skipped, as are blocks whose greatest
+impacts don't; the items of what is left are scored in full. Found items are verified by the share of their
+question's and answer's word n-grams that the text around the passage holds. The search is exact: all items
+and segments at or above the threshold are found, with any number of blocks.
 """
 
 from __future__ import annotations
@@ -91,12 +94,13 @@ def grams(terms: np.ndarray, n: int = GRAM) -> np.ndarray:
 @dataclass
 class Index:
     ids: list[int]
+    owner: np.ndarray  # the item of each entry: first the items themselves, then the segments of long ones
     terms: np.ndarray  # sorted hashes
     best: np.ndarray  # greatest impact of each term
-    block: int  # items of a block
+    block: int  # entries of a block
     bounds: np.ndarray  # term x block: greatest impact
     start: np.ndarray  # term x block: where its postings begin; those of a term lie together
-    items: np.ndarray
+    items: np.ndarray  # entries
     impacts: np.ndarray
     question: list[np.ndarray]
     answer: list[np.ndarray]
@@ -104,30 +108,40 @@ class Index:
 
 
 def build(ids: list[int], texts: list[str], blocks: int = BLOCKS) -> Index:
-    """The index of items, in at most `blocks` blocks of equal size; items without terms are never found."""
+    """The index of items, in at most `blocks` blocks of equal size; items without terms are never found.
+
+    Document frequencies and the mean length are those of the items, also for segments.
+    """
     parts = [answer_start(t) for t in texts]
     whole = Terms(pa.array(texts, pa.string()))
     heads, tails = Terms(pa.array([t[:p] for t, p in zip(texts, parts)], pa.string())), Terms(pa.array([t[p:] for t, p in zip(texts, parts)], pa.string()))
     many = len(texts)
     mean = max(1.0, whole.count.mean()) if many else 1.0
-    item = np.repeat(np.arange(many), whole.count)
     terms, number = np.unique(whole.hashes, return_inverse=True)
-    pairs, tf = np.unique(number * np.int64(many) + item, return_counts=True)  # by term, then item
-    term, item = pairs // max(many, 1), pairs % max(many, 1)
-    df = np.bincount(term, minlength=len(terms))
+    # the last segment ends with its item
+    of, start, stop = passages(np.where(whole.count > PASSAGE, whole.count, 0), whole.first)
+    start = stop - PASSAGE
+    owner, size = np.concatenate([np.arange(many), of]), np.concatenate([whole.count, stop - start])
+    begin = np.concatenate([whole.first, start])
+    entries = len(owner)
+    entry = np.repeat(np.arange(entries), size)
+    place = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    pairs, tf = np.unique(number[place] * np.int64(entries) + entry, return_counts=True)  # by term, then entry
+    term, entry = pairs // max(entries, 1), pairs % max(entries, 1)
+    df = np.bincount(term[entry < many], minlength=len(terms))
     idf = np.log(1 + (many - df + 0.5) / (df + 0.5))
-    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * whole.count[item] / mean))
-    impact = impact / np.bincount(item, impact, many)[item]
-    block = max(1, -(-many // blocks))
-    n_blocks = max(1, -(-many // block))
+    impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[entry] / mean))
+    impact = impact / np.bincount(entry, impact, entries)[entry]
+    block = max(1, -(-entries // blocks))
+    n_blocks = max(1, -(-entries // block))
     bounds = np.zeros((len(terms), n_blocks), np.float32)
-    np.maximum.at(bounds, (term, item // block), np.nextafter(impact.astype(np.float32), np.float32(2)))
-    start = np.searchsorted(term * n_blocks + item // block, np.arange(len(terms) * n_blocks + 1))
-    return Index(ids, terms, bounds.max(1) if len(terms) else np.zeros(0, np.float32), block, bounds, start, item, impact, [grams(heads.of(i)) for i in range(many)], [grams(tails.of(i)) for i in range(many)], int(whole.count.max()) if many else 0)
+    np.maximum.at(bounds, (term, entry // block), np.nextafter(impact.astype(np.float32), np.float32(2)))
+    start = np.searchsorted(term * n_blocks + entry // block, np.arange(len(terms) * n_blocks + 1))
+    return Index(ids, owner, terms, bounds.max(1) if len(terms) else np.zeros(0, np.float32), block, bounds, start, entry, impact, [grams(heads.of(i)) for i in range(many)], [grams(tails.of(i)) for i in range(many)], int(whole.count.max()) if many else 0)
 
 
 def retrieve(index: Index, query: np.ndarray, bounds: np.ndarray, threshold: float) -> list[tuple[int, float]]:
-    """The items of the blocks whose bound reaches the threshold, scored in full over the distinct terms `query`."""
+    """The entries of the blocks whose bound reaches the threshold, scored in full over the distinct terms `query`."""
     found = []
     n_blocks = index.bounds.shape[1]
     for k in np.flatnonzero(bounds >= threshold):
@@ -140,7 +154,7 @@ def retrieve(index: Index, query: np.ndarray, bounds: np.ndarray, threshold: flo
 
 
 def search_passages(index: Index, numbers: np.ndarray, starts: np.ndarray, stops: np.ndarray, threshold: float) -> list[tuple[int, int, float]]:
-    """(passage, item, score) of all items at or above the threshold, for passages given by their spans.
+    """(passage, entry, score) of all entries at or above the threshold, for passages given by their spans.
 
     `numbers` are the index terms at all places, -1 for others. Bounds are tested for all passages at once:
     those over whole posting lists first, then those over blocks.
@@ -204,7 +218,11 @@ def _found(ix: Index, texts: pa.Array, threshold: float, question: float, answer
         at = np.searchsorted(ix.terms, terms.hashes)
         at[at == len(ix.terms)] = 0
         numbers = np.where(ix.terms[at] == terms.hashes, at, -1)
-        for k, item, score in search_passages(ix, numbers, starts, stops, threshold):
+        scores: dict[tuple[int, int], float] = {}
+        for k, entry, score in search_passages(ix, numbers, starts, stops, threshold):
+            at_item = k, int(ix.owner[entry])
+            scores[at_item] = max(score, scores.get(at_item, 0.0))
+        for (k, item), score in scores.items():
             i = int(text[k])
             x = best.setdefault((i, item), {"item_id": ix.ids[item], "score": 0.0, "question": 0.0, "answer": 0.0, "leak": False})
             x["score"] = max(x["score"], score)

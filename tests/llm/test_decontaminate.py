@@ -88,5 +88,19 @@ def test_documents(spark):
         de.PART_BYTES = part
 
 
+@pytest.mark.parametrize("length", [65, 100, 200, 300, 500, 1000])
+def test_long_items(length):
+    texts = [" ".join(f"{w}x{RNG.randrange(40)}" for w in prose(length).split()) for _ in range(8)]
+    index = de.build(list(range(len(BASE) + len(texts))), BASE + texts)
+    for share in (1, 0.6):
+        part = math.ceil(share * length)
+        for at in {0, (length - part) // 2, length - part}:
+            docs = [prose(RNG.randrange(150)) + " " + " ".join(t.split()[at : at + part]) + " " + prose(70) for t in texts]
+            for k, found in enumerate(de._found(index, pa.array([*docs, prose(900)]), de.THRESHOLD, de.QUESTION, de.ANSWER)):
+                leaks = [x["item_id"] for x in found if x["leak"]]
+                assert leaks == ([len(BASE) + k] if k < len(texts) else [])
+                assert all(x["score"] >= de.THRESHOLD - 1e-5 for x in found)
+
+
 def test_answers():
     assert [t[de.answer_start(t) :] for t in ["One two? Three.", "One two", "Q: a\nA: b c", "Answer: x answer: y", "First.\nSecond line"]] == ["Three.", "", " b c", " y", "Second line"]
