@@ -67,6 +67,12 @@ def _(t):
     return overrides.by_chapter(t.orders.where("o_orderkey % 10 = 0").select("o_orderkey"), rules, "o_orderkey", "chapter", "p_partkey", "overrides")
 
 
+@query("j9_all_chapter_overrides", "SELECT o_orderkey, list_sort(list(p_partkey)) AS overrides FROM orders JOIN (SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE p_partkey END AS chapter FROM part WHERE p_partkey % 50 = 0 OR p_partkey % 3 = 0) ON chapter IS NULL OR chapter = o_orderkey GROUP BY o_orderkey")
+def _(t):
+    rules = t.part.where("p_partkey % 50 = 0 OR p_partkey % 3 = 0").select("p_partkey", F.when(F.col("p_partkey") % 50 != 0, F.col("p_partkey")).alias("chapter"))
+    return overrides.by_chapter(t.orders.select("o_orderkey"), rules, "o_orderkey", "chapter", "p_partkey", "overrides")
+
+
 @query("j10_manifest_zip", "SELECT coalesce(a.conv_id, b.conv_id) AS conv_id, coalesce(a.turn, b.turn) AS turn, CASE WHEN a.turn IS NULL THEN 'extra' WHEN b.turn IS NULL THEN 'missing' WHEN a.role = b.role THEN 'same' ELSE 'other' END AS state FROM (SELECT conv_id, turn, role FROM conversations WHERE turn < 5) a FULL JOIN (SELECT conv_id, turn, CASE WHEN turn % 4 = 1 THEN 'x' ELSE role END AS role FROM conversations WHERE turn > 1) b ON a.conv_id = b.conv_id AND a.turn = b.turn")
 def _(t):
     now = t.conversations.where("turn < 5").select("conv_id", "turn", "role")
