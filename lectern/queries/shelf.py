@@ -38,6 +38,22 @@ def _(t):
     return t.documents.where("length(text) >= 20").select("doc_id", chapters.highlighted(F.substring("text", 1, 20), ranges).alias("marked"))
 
 
+def sql_escaped(x):
+    for mark, name in (("'&'", "amp"), ("'<'", "lt"), ("'>'", "gt"), ("'\"'", "quot"), ("chr(39)", "#x27")):
+        x = f"replace({x}, {mark}, '&{name};')"
+    return x
+
+
+PIECES = ["substr(text, 1, n // 4)", "substr(text, n // 4 + 1, n // 2 - n // 4)", "substr(text, n // 2 + 1, 3 * n // 4 - n // 2)", "substr(text, 3 * n // 4 + 1, n - 3 * n // 4)"]
+
+
+@query("t20_whole_highlights", f"SELECT doc_id, md5({sql_escaped(PIECES[0])} || '<mark>' || {sql_escaped(PIECES[1])} || '</mark>' || {sql_escaped(PIECES[2])} || '<mark>' || {sql_escaped(PIECES[3])} || '</mark>') AS digest FROM (SELECT doc_id, text, length(text) AS n FROM documents)")
+def _(t):
+    at = lambda x: F.expr(f"int({x})")
+    ranges = F.array(*(F.struct(at(a).alias("start"), at(b).alias("end")) for a, b in (("length(text) div 4", "length(text) div 2"), ("3L * length(text) div 4", "length(text)"))))
+    return t.documents.select("doc_id", F.md5(chapters.highlighted(F.col("text"), ranges).cast("binary")).alias("digest"))
+
+
 @query("t22_source_types", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'epub' WHEN 1 THEN 'text' ELSE 'other' END AS kind, CASE WHEN page_id % 2 = 0 THEN 'author' ELSE 'unknown' END AS origin FROM pages")
 def _(t):
     source = F.expr("element_at(array('b.EPUB', 'c.txt', 'd'), int(1 + page_id % 3))")

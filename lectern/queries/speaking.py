@@ -108,6 +108,12 @@ def _(t):
     return t.documents.where("lang = 'en'").select("doc_id", F.md5(speech.spoken(F.col("text"), speech.apply_overrides, entries=rules).cast("binary")).alias("digest"))
 
 
+@query("v4_all_reading_overrides", "SELECT doc_id, md5(replace(regexp_replace(regexp_replace(text, '\\b[Tt][Hh][Ee]\\b', 'ze', 'g'), 'tion', 'shun', 'g'), 'que', 'k')) AS digest FROM documents")
+def _(t):
+    rules = [{"base": "the", "reading": "ze"}, {"pattern": "tion", "reading": "shun", "case_sensitive": True}, {"pattern": "que", "reading": "k", "case_sensitive": True, "mode": "substring"}, {"pattern": "(", "reading": "broken"}]
+    return t.documents.select("doc_id", F.md5(speech.spoken(F.col("text"), speech.apply_overrides, entries=rules).cast("binary")).alias("digest"))
+
+
 PARA = "replace(text, chr(10), chr(10) || ' ' || chr(10))"
 
 
