@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import doc_texts, rows_of
+from lectern.llm.common import doc_texts, rows_of, small_batches
 from lectern.llm.kernels import text_bytes, xxh64
 from lectern.session import written
 
@@ -107,16 +107,28 @@ class Index:
     longest: int
 
 
-def build(ids: list[int], texts: list[str], blocks: int = BLOCKS) -> Index:
+@dataclass
+class Statistics:
+    """Of all items, for indexes that hold a part of them."""
+
+    many: int
+    mean: float
+    longest: int
+    terms: np.ndarray  # sorted hashes
+    df: np.ndarray
+
+
+def build(ids: list[int], texts: list[str], blocks: int = BLOCKS, stats: Statistics | None = None) -> Index:
     """The index of items, in at most `blocks` blocks of equal size; items without terms are never found.
 
-    Document frequencies and the mean length are those of the items, also for segments.
+    Document frequencies and the mean length are those of the items, also for segments: of all items if
+    `stats` are given, else of these.
     """
     parts = [answer_start(t) for t in texts]
     whole = Terms(pa.array(texts, pa.string()))
     heads, tails = Terms(pa.array([t[:p] for t, p in zip(texts, parts)], pa.string())), Terms(pa.array([t[p:] for t, p in zip(texts, parts)], pa.string()))
     many = len(texts)
-    mean = max(1.0, whole.count.mean()) if many else 1.0
+    mean = stats.mean if stats else max(1.0, whole.count.mean()) if many else 1.0
     terms, number = np.unique(whole.hashes, return_inverse=True)
     # the last segment ends with its item
     of, start, stop = passages(np.where(whole.count > PASSAGE, whole.count, 0), whole.first)
@@ -128,8 +140,8 @@ def build(ids: list[int], texts: list[str], blocks: int = BLOCKS) -> Index:
     place = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
     pairs, tf = np.unique(number[place] * np.int64(entries) + entry, return_counts=True)  # by term, then entry
     term, entry = pairs // max(entries, 1), pairs % max(entries, 1)
-    df = np.bincount(term[entry < many], minlength=len(terms))
-    idf = np.log(1 + (many - df + 0.5) / (df + 0.5))
+    df = stats.df[np.searchsorted(stats.terms, terms)] if stats else np.bincount(term[entry < many], minlength=len(terms))
+    idf = np.log(1 + ((stats.many if stats else many) - df + 0.5) / (df + 0.5))
     impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[entry] / mean))
     impact = impact / np.bincount(entry, impact, entries)[entry]
     block = max(1, -(-entries // blocks))
@@ -137,7 +149,8 @@ def build(ids: list[int], texts: list[str], blocks: int = BLOCKS) -> Index:
     bounds = np.zeros((len(terms), n_blocks), np.float32)
     np.maximum.at(bounds, (term, entry // block), np.nextafter(impact.astype(np.float32), np.float32(2)))
     start = np.searchsorted(term * n_blocks + entry // block, np.arange(len(terms) * n_blocks + 1))
-    return Index(ids, owner, terms, bounds.max(1) if len(terms) else np.zeros(0, np.float32), block, bounds, start, entry, impact, [grams(heads.of(i)) for i in range(many)], [grams(tails.of(i)) for i in range(many)], int(whole.count.max()) if many else 0)
+    longest = stats.longest if stats else int(whole.count.max()) if many else 0
+    return Index(ids, owner, terms, bounds.max(1) if len(terms) else np.zeros(0, np.float32), block, bounds, start, entry, impact, [grams(heads.of(i)) for i in range(many)], [grams(tails.of(i)) for i in range(many)], longest)
 
 
 def retrieve(index: Index, query: np.ndarray, bounds: np.ndarray, threshold: float) -> list[tuple[int, float]]:
@@ -203,10 +216,31 @@ _CANDIDATE = "struct<item_id: bigint, score: double, question: double, answer: d
 _KIND = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64()), ("leak", pa.bool_())]))
 
 
-def _index(items: DataFrame, part: int, parts: int) -> Index:
+def _statistics(items: DataFrame) -> Statistics:
+    """Of all items; the driver gets 16 bytes a distinct term."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows_of(batches):
+            terms = Terms(batch.column("text"))
+            item = np.repeat(np.arange(batch.num_rows), terms.count)
+            seen = np.unique(np.stack([item.astype(np.uint64), terms.hashes], axis=1), axis=0)
+            own, n = np.unique(seen[:, 1], return_counts=True)
+            lengths = [len(terms.hashes), int(terms.count.max(initial=0))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(own.view(np.int64), [0, 0])), pa.array(np.append(n, lengths)), pa.array(np.append(np.zeros(len(own), np.int64), [1, 2]))], names=["term", "n", "kind"])
+
+    each = small_batches(items.select("text")).mapInArrow(run, "term long, n long, kind long")
+    got = each.groupBy("kind", "term").agg(F.sum("n").alias("total"), F.max("n").alias("most")).toArrow()
+    kind, term, total, most = (got.column(c).to_numpy() for c in ("kind", "term", "total", "most"))
+    many = items.count()
+    terms = term[kind == 0].view(np.uint64)
+    order = np.argsort(terms)
+    return Statistics(many, max(1.0, total[kind == 1].sum() / max(1, many)), int(most[kind == 2].max(initial=0)), terms[order], total[kind == 0][order])
+
+
+def _index(items: DataFrame, part: int, parts: int, stats: Statistics | None) -> Index:
     some = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
     got = some.orderBy("item_id", "text").toArrow()
-    return build(got.column("item_id").to_pylist(), got.column("text").to_pylist())
+    return build(got.column("item_id").to_pylist(), got.column("text").to_pylist(), stats=stats)
 
 
 def _found(ix: Index, texts: pa.Array, threshold: float, question: float, answer: float) -> list[list[dict]]:
@@ -242,15 +276,16 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, ques
     `item_ids` are the items that are verified, `candidates` all that BM25 finds. Null texts and items have no
     terms and match nothing. Rows that repeat a doc_id, or have none, are searched each for itself; equal items
     are found each. Without items, or documents, nothing is found. Items of more than PART_BYTES are indexed in
-    parts, of which each has its own term statistics; every passage is searched against all parts.
+    parts with the term statistics of all items; every passage is searched against all parts.
     """
     spark = docs.sparkSession
     pool = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = -(-(pool.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES) or 1
     rows = doc_texts(docs, *(F.col(c).alias(f"_keep_{c}") for c in keep), F.array().cast(f"array<{_CANDIDATE}>").alias("candidates"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    stats = _statistics(pool) if parts > 1 else None
     for part in range(parts):
-        shared = spark.sparkContext.broadcast(_index(pool, part, parts))
+        shared = spark.sparkContext.broadcast(_index(pool, part, parts, stats))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in rows_of(batches):

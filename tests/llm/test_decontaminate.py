@@ -102,5 +102,14 @@ def test_long_items(length):
                 assert all(x["score"] >= de.THRESHOLD - 1e-5 for x in found)
 
 
+def test_parts_score_as_one_index(spark, monkeypatch):
+    docs = spark.createDataFrame([d for d in DOCS if len(d[1] or "") < 10_000], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([*ITEMS, (300, prose(150))], "item_id long, text string")
+    found = lambda: sorted((str(r.doc_id), len(r.candidates), str(sorted((str(x.item_id), round(x.score, 6), x.question, x.answer, x.leak) for x in r.candidates))) for r in de.search(docs, items, threshold=0.2).collect())
+    one = found()
+    monkeypatch.setattr(de, "PART_BYTES", 9000)
+    assert found() == one and any(r[1] > 1 for r in one)
+
+
 def test_answers():
     assert [t[de.answer_start(t) :] for t in ["One two? Three.", "One two", "Q: a\nA: b c", "Answer: x answer: y", "First.\nSecond line"]] == ["Three.", "", " b c", " y", "Second line"]
