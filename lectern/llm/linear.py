@@ -1,8 +1,10 @@
 """Hashed text features and the linear models over them.
 
-Features of a text are its distinct lower-cased words and the distinct 4- and 5-byte grams of these, and
-a few binned shape statistics, hashed into BITS bits. Models are fitted in numpy on the driver from at
-most SAMPLE labelled documents, chosen by the hash of their id; scoring covers every document.
+Features of a text are its distinct lower-cased words, the distinct 4- and 5-byte grams of these, their
+first 5 and 7 bytes, and a few binned shape statistics, hashed into BITS bits. Models are fitted in numpy on
+the driver from at most SAMPLE labelled documents, chosen by the hash of their id; scoring covers every
+document. Each model is the one minimum of a convex function, a mean log loss with a ridge, found by L-BFGS,
+over the features whose rates differ between the classes by LEAST_Z standard errors.
 """
 
 from __future__ import annotations
@@ -16,14 +18,17 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import doc_texts, rows_of
 from lectern.llm.kernels import Words, sums, text_bytes
+from lectern.session import written
 
 BITS = 20
 #: Labelled documents that a model is fitted on, at the most.
 SAMPLE = 4_000
 #: Features of fewer sample documents have no weight.
 LEAST_DOCS = 4
-#: So have features whose log odds are nearer to 0, which are most of any text's.
-LEAST_ODDS = 0.7
+#: So have features whose rates in the classes differ by fewer standard errors: chance makes such differences.
+LEAST_Z = 2.0
+#: Weight of the squared weights (of log-odds-scaled features) against the mean loss of a document.
+RIDGE = 1e-5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
@@ -68,6 +73,11 @@ def features(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndar
         place = np.arange(total) + np.repeat(at - (np.cumsum(grams) - grams), grams)
         docs.append(np.repeat(doc_of, grams))
         keys.append(_hashed(w8[place] & np.uint64((1 << 8 * n) - 1), n))
+    w8_before = np.ndarray((len(data) - 8 + 1,), "<u8", b" " + data, strides=(1,))
+    for n in (5, 7):  # a word's beginning, with the space before it
+        long = size >= n
+        docs.append(doc_of[long])
+        keys.append(_hashed(w8_before[at[long]] & np.uint64((1 << 8 * (n + 1)) - 1 if n < 7 else 2**64 - 1), 20 + n))
     # shape: length, share of distinct words, share of signs
     kinds = np.bincount(doc_of, minlength=many)
     signs = np.concatenate([[0], np.cumsum(_SYMBOL[words.buffer])])
@@ -87,16 +97,19 @@ def features(texts: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndar
 def labelled(docs: DataFrame, labels: DataFrame, columns: list[str], limit: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, their counts, and the labels (a row a document) of at most `limit` labelled documents.
 
-    The choice is by the hash of doc_id. Labels with a null id or value are left out; of several rows
-    with one doc_id one is taken, the least by labels or text.
+    The choice is by the hash of doc_id, among labels of documents that are there. Labels with a null id or
+    value are left out before it; of several rows with one doc_id one is taken, the least by labels or text.
+    Nothing labelled gives empty arrays. Only ids and labels are shuffled, and the chosen rows' texts.
     """
-    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("double").alias(f"_y{i}") for i, c in enumerate(columns))).dropna()
+    given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("double").alias(f"_y{i}") for i, c in enumerate(columns))).dropna()
     y = [f"_y{i}" for i in range(len(columns))]
-    chosen = chosen.groupBy("doc_id").agg(F.min(F.struct(*y)).alias("_y")).select("doc_id", "_y.*")
+    given = given.groupBy("doc_id").agg(F.min(F.struct(*y)).alias("_y")).select("doc_id", "_y.*")
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    usable = written(given.join(there, "doc_id", "left_semi"), "labelled")
     # the least hashes: a share a little above the limit goes to the final sort, however many labels there are
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
-    share = min(1.0, (1.2 * limit + 200) / max(1, labels.count()))
-    chosen = chosen.where(place < int(share * (1 << 40))).orderBy(place, "doc_id").limit(limit)
+    share = min(1.0, (1.2 * limit + 200) / max(1, usable.count()))
+    chosen = usable.where(place < int(share * (1 << 40))).orderBy(place, "doc_id").limit(limit)
     rows = doc_texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *y).agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,15 +151,22 @@ class Design:
         return part
 
     def times(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights[self.column], self.rows)
+        return np.bincount(self.row, weights[self.column], self.rows).astype(float)
 
     def transposed(self, errors: np.ndarray) -> np.ndarray:
-        return np.bincount(self.column, errors[self.row], len(self.used))
-
-    def log_odds(self, positive: np.ndarray, smooth: float = 0.5) -> np.ndarray:
-        """Each feature's log ratio of its rates in the rows where `positive` (0 to 1) and in the others."""
-        with_, without = self.transposed(positive), self.transposed(1 - positive)
-        return np.log((with_ + smooth) / (positive.sum() + 2 * smooth)) - np.log((without + smooth) / ((1 - positive).sum() + 2 * smooth))
+        return np.bincount(self.column, errors[self.row], len(self.used)).astype(float)
+
+    def contrast(self, positive: np.ndarray, rows: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Each column's log ratio of its rates in the rows where `positive` is 1 and where it is 0, and by how
+        many standard errors the rates differ; of the rows where `rows` is 1. Both classes must occur."""
+        rows = np.ones(self.rows) if rows is None else rows
+        n1, n0 = (positive * rows).sum(), ((1 - positive) * rows).sum()
+        with_, without = self.transposed(positive * rows), self.transposed((1 - positive) * rows)
+        ratio = np.log((with_ + 0.5) / (n1 + 1)) - np.log((without + 0.5) / (n0 + 1))
+        rate = (with_ + without) / (n1 + n0)
+        error = np.sqrt(np.maximum(rate * (1 - rate), 1e-12) * (1 / n1 + 1 / n0))
+        seen = with_ + without > 0
+        return np.where(seen, ratio, 0.0), np.where(seen, (with_ / n1 - without / n0) / error, 0.0)
 
     def full(self, weights: np.ndarray) -> np.ndarray:
         """The weights by feature number."""
@@ -159,13 +179,30 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * np.clip(x, -60, 60)))
 
 
-def adam(gradient, start: np.ndarray, steps: int, rate: float) -> np.ndarray:
-    """Full-batch Adam from `start`; the rate falls to a tenth."""
-    x, m, v = start.copy(), np.zeros_like(start), np.zeros_like(start)
-    for t in range(1, steps + 1):
-        g = gradient(x)
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        x -= rate * (0.1 ** (t / steps)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+def minimum(loss, start: np.ndarray, steps: int = 300, tolerance: float = 1e-6, memory: int = 10) -> np.ndarray:
+    """Where `loss`, which gives the value and gradient of a convex function, is least: L-BFGS from `start`."""
+    x, (value, gradient) = start, loss(start)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(steps):
+        if np.abs(gradient).max(initial=0) < tolerance:
+            break
+        direction, along = -gradient, []
+        for s, y, sy in reversed(past):
+            along.append(s @ direction / sy)
+            direction = direction - along[-1] * y
+        direction = direction * (past[-1][2] / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, np.abs(gradient).sum()))
+        for (s, y, sy), a in zip(past, reversed(along)):
+            direction = direction + (a - y @ direction / sy) * s
+        slope, t = gradient @ direction, 1.0
+        while True:
+            there, turned = loss(x + t * direction)
+            if there <= value + 1e-4 * t * slope or t < 1e-10:
+                break
+            t /= 2
+        s, y = t * direction, turned - gradient
+        if s @ y > 1e-14:
+            past = [*past, (s, y, float(s @ y))][-memory:]
+        x, value, gradient = x + s, there, turned
     return x
 
 
@@ -184,7 +221,7 @@ def score(docs: DataFrame, weights: np.ndarray, finish, schema: str, keep: tuple
         for batch in rows_of(batches):
             key, count = features(batch.column("text"), wanted)
             doc = np.repeat(np.arange(len(count)), count)
-            products = np.stack([np.bincount(doc, w[key, k], len(count)) for k in range(w.shape[1])], axis=1)
+            products = np.stack([np.bincount(doc, w[key, k], len(count)).astype(float) for k in range(w.shape[1])], axis=1)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(batch.column(f"_keep_{c}") for c in keep), *(pa.array(x) for x in finish(products))], names=["doc_id", *keep, *names])
 
     kinds = "".join(f", `{c}` {dict(docs.dtypes)[c]}" for c in keep)

@@ -11,11 +11,10 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from lectern.llm.linear import BITS, LEAST_ODDS, SAMPLE, Design, adam, labelled, score, sigmoid
+from lectern.llm.linear import BITS, LEAST_Z, RIDGE, SAMPLE, Design, labelled, minimum, score, sigmoid
 
 #: Tail probability from which a document is selected: in doubt it is kept.
 THRESHOLD = 0.3
-_STEPS, _RATE, _RIDGE = 120, 0.06, 1e-3
 COLUMNS = "expected_grade double, tail_probability double, selected boolean"
 
 
@@ -36,21 +35,24 @@ class Ordinal:
 
 
 def fit_thresholds(design: Design, y: np.ndarray, grades: int) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of the design's columns and thresholds for y in 0..grades-1, by full-batch likelihood."""
+    """Weights of the design's columns and thresholds for y in 0..grades-1.
+
+    They are least for the mean negative log likelihood and RIDGE / 2 times the squared weights before scaling
+    by the features' mean log odds over all cuts of the scale. Features that differ at no cut have no weight.
+    """
     n = len(y)
     rates = np.array([(y > k).mean() for k in range(grades - 1)])
     start = -np.log(rates / (1 - rates))
-    scale = sum(design.log_odds((y > k).astype(float)) for k in range(grades - 1)) / (grades - 1)
-    # on a lopsided scale, only what speaks for the rarer end; else long texts add up to the commoner one
-    level = np.mean(y) / (grades - 1)
-    chosen = (np.abs(scale) if 0.3 <= level <= 0.7 else scale if level < 0.3 else -scale) >= LEAST_ODDS
+    cuts = [design.contrast((y > k).astype(float)) for k in range(grades - 1)]
+    scale = sum(ratio for ratio, _ in cuts) / (grades - 1)
+    chosen = np.max([np.abs(z) for _, z in cuts], axis=0) >= LEAST_Z
     design, scale = design.only(chosen), scale[chosen]
     d = len(scale)
 
     def thresholds(x: np.ndarray) -> np.ndarray:
         return np.concatenate([x[:1], x[0] + np.cumsum(np.exp(x[1:]))])
 
-    def gradient(x: np.ndarray) -> np.ndarray:
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         t = thresholds(x[d:])
         f = design.times(x[:d] * scale)
         up = np.concatenate([np.ones((n, 1)), sigmoid(f[:, None] - t), np.zeros((n, 1))], axis=1)  # P(y >= k)
@@ -63,10 +65,11 @@ def fit_thresholds(design: Design, y: np.ndarray, grades: int) -> tuple[np.ndarr
         by_t[r, y + 1] -= slope[r, y + 1] / p / n
         per = by_t.sum(0)[1:grades]
         steps = np.exp(x[d + 1 :]) * per[::-1].cumsum()[::-1][1:]
-        return np.concatenate([design.transposed(by_f) * scale + _RIDGE * x[:d] / d, [per.sum()], steps])
+        value = -np.log(p).mean() + RIDGE / 2 * (x[:d] @ x[:d])
+        return value, np.concatenate([design.transposed(by_f) * scale + RIDGE * x[:d], [per.sum()], steps])
 
     gaps = np.log(np.maximum(np.diff(start), 1e-3))
-    x = adam(gradient, np.concatenate([np.zeros(d), start[:1], gaps]), _STEPS, _RATE)
+    x = minimum(loss, np.concatenate([np.zeros(d), start[:1], gaps]))
     weights = np.zeros(len(chosen))
     weights[chosen] = x[:d] * scale
     return weights, thresholds(x[d:])

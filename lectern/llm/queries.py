@@ -49,17 +49,21 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"), text=False).drop("clean_text")
 
 
+#: Three grades: a point for sound text and one for a civil tone.
+GRADE = "quality + 1 - toxic AS grade"
+
+
 def op8_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return ordinal.predict(docs, ordinal.fit_ordinal(docs, table(spark, sf_dir, "labels"), "quality"))
+    return ordinal.predict(docs, ordinal.fit_ordinal(docs, table(spark, sf_dir, "labels").selectExpr("doc_id", GRADE), "grade"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_ids")
 
 
-#: The chain's categories: a document's spam or gibberish shows in its wording, which helps to judge its tone.
-TOXICITY = {"junk": "1 - quality", "toxic": "toxic"}
+#: The chain's categories: the labels know one kind of toxicity, of which that in junk text is the second.
+TOXICITY = {"toxic": "toxic", "toxic_junk": "toxic * (1 - quality)"}
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
