@@ -1,8 +1,9 @@
 """WARC archives as chunked record tables.
 
-A payload is never held whole: it travels as rows of record identifier and chunk number, is written chunk
-by chunk into its record's gzip member, and is read back in blocks. Each chunk row carries the bytes and
-the SHA-256 of the payload as far as it goes, so the last row of a record has the whole payload's digest.
+A payload is held whole only in the row that it comes in: it is cut into rows of record identifier and chunk
+number, travels so, is written chunk by chunk into its record's gzip member, and is read back in blocks. Out and
+back, each chunk row carries the bytes and the SHA-256 of the payload as far as it goes, so the last row of a
+record has the whole payload's digest, which tells the equal payloads without looking at them again.
 Equal payloads are stored once: later records revisit the first and hold its HTTP headers alone.
 Archives have attempt-unique names, and only those of tasks that ended well are in the manifest.
 """
@@ -23,40 +24,64 @@ from pyspark.sql import functions as F
 from lectern.llm.common import small_batches
 from lectern.llm.token_io import filesystem
 from lectern.plans.skew import salted_lookup
-from lectern.session import shared_path, written
+from lectern.session import discard, shared_path, written
 
 CHUNK = 1 << 18
 #: Shorter payloads are never worth a revisit.
 LEAST_BYTES = 100
 DATE = "2000-01-01T00:00:00Z"
 _BLOCK = 1 << 20
+#: Bytes of chunk rows that a task holds before it hands them on.
+_HELD = 4 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_rows(pages: DataFrame, chunk: int = CHUNK, least_bytes: int = LEAST_BYTES) -> DataFrame:
-    """The chunk rows of a record for each page: _row, page_id, url, record_type, refers_to, first_row,
-    payload_bytes, payload_digest, chunk_no, data.
+def chunk_rows(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The chunk rows of all payloads: row, page_id, url, chunk_no, is_last, payload_bytes, payload_digest, data.
+
+    `row` identifies a row of `pages`. payload_bytes and payload_digest tell of the payload up to and with the
+    chunk, from one running digest; chunks are cut from the column's own buffer, so no payload is copied whole.
+    A null html is one empty chunk. An empty table gives no rows.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
+        held, size = [], 0
+        for batch in batches:
+            for page, url, html in zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist(), batch.column("html")):
+                payload, digest, at, number = memoryview(html.as_buffer() or b""), hashlib.sha256(), 0, 0
+                while not number or at < len(payload):
+                    part = payload[at : at + chunk]
+                    digest.update(part)
+                    at += len(part)
+                    held.append({"row": row, "page_id": page, "url": url, "chunk_no": number, "is_last": at == len(payload), "payload_bytes": at, "payload_digest": digest.hexdigest(), "data": bytes(part)})
+                    number, size = number + 1, size + len(part) + 300
+                    if size > _HELD:
+                        yield pa.RecordBatch.from_pylist(held, schema=_CUT)
+                        held, size = [], 0
+                row += 1
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema=_CUT)
+
+    rows = small_batches(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")))
+    return rows.mapInArrow(cut, "row long, page_id long, url string, chunk_no int, is_last boolean, payload_bytes long, payload_digest string, data binary")
+
+
+def revisits(chunks: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
+    """(row, first_page, first_row) of the records of a table of `chunk_rows` that revisit another.
 
     Of equal payloads of `least_bytes` at least, the one with the smallest page_id is the response, the others
-    revisit it and have one row without data. A null html is empty. Of rows that repeat a page_id the first
-    is the response; rows without a page_id come last. Only digests, ids and counts are grouped, and payloads
-    that make up much of the table are spread over many tasks.
+    revisit it. Of rows that repeat a page_id the one with the least `row` is; rows without a page_id come last.
+    Only digests, ids and counts are read and grouped; payloads that many records share are spread over tasks.
     """
-    payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
-    rows = pages.select(F.monotonically_increasing_id().alias("_row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page_id"), F.col("_row").alias("row"))
+    keys = chunks.where(F.col("is_last") & (F.col("payload_bytes") >= least_bytes)).select("row", "page_id", "payload_digest")
+    order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("page_id"), F.col("row").alias("row"))
     firsts = written(
-        rows.where(F.col("payload_bytes") >= least_bytes).groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row"), "n"), "first-payloads"
+        keys.groupBy("payload_digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select("payload_digest", F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row"), "n"), "first-payloads"
     )
-    total = pages.count()
-    joined = salted_lookup(rows, firsts, "payload_digest", "n", max(1, total), F.col("_row"))
-    revisit = F.col("first_row").isNotNull() & (F.col("first_row") != F.col("_row"))
-    joined = joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_page")))
-    last = F.when(revisit, F.lit(0)).otherwise(F.greatest(F.lit(0), F.ceil(F.col("payload_bytes") / chunk).cast("int") - 1))
-    chunks = joined.withColumn("chunk_no", F.explode(F.sequence(F.lit(0), last)))
-    data = F.when(~revisit, F.substring(F.col("payload"), F.col("chunk_no") * chunk + 1, F.lit(chunk)))
-    return chunks.select("_row", "page_id", "url", "record_type", "refers_to", "first_row", "payload_bytes", "payload_digest", "chunk_no", data.alias("data"))
+    total = firsts.agg(F.sum("n")).first()[0] or 1
+    found = salted_lookup(keys, firsts, "payload_digest", "n", total, F.col("row"))
+    return found.where("first_row <> row").select("row", "first_page", "first_row")
 
 
 def _name(page: int | None, row: int) -> str:
@@ -64,13 +89,13 @@ def _name(page: int | None, row: int) -> str:
 
 
 def _headers(r: dict) -> bytes:
-    """The WARC header and the HTTP header of a record."""
-    revisit = r["record_type"] == "revisit"
+    """The WARC header and the HTTP header of a record: a last chunk's row, with what it revisits."""
+    revisit = r["first_row"] is not None
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {r['payload_bytes']}\r\n\r\n".encode()
     url = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", r["url"] or "about:blank")
-    lines = ["WARC/1.1", f"WARC-Type: {r['record_type']}", f"WARC-Record-ID: {_name(r['page_id'], r['_row'])}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{r['payload_digest']}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_name(r['page_id'], r['row'])}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha256:{r['payload_digest']}"]
     if revisit:
-        lines += [f"WARC-Refers-To: {_name(r['refers_to'], r['first_row'])}", f"WARC-Profile: {_PROFILE}"]
+        lines += [f"WARC-Refers-To: {_name(r['first_page'], r['first_row'])}", f"WARC-Profile: {_PROFILE}"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(http) + (0 if revisit else r['payload_bytes'])}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + http
 
@@ -78,6 +103,9 @@ def _headers(r: dict) -> bytes:
 def write_archives(pages: DataFrame, chunk: int = CHUNK, least_bytes: int = LEAST_BYTES, folder: str | None = None, level: int = 1) -> DataFrame:
     """Writes a record for each row of `pages` (page_id, url, html); the manifest: path, n_records, n_bytes.
 
+    The chunk rows are a table in the shared folder, so a record is the same record however often a task is
+    repeated. A record's last row is sent ahead of its chunks as its head, since it has the whole payload's digest and
+    size, with what it revisits; records meet their chunks by one shuffle, and stream into their gzip members.
     Columns besides these are ignored; an empty table writes nothing. A payload whose chunks don't have the digest
     of its header is an error.
     """
@@ -86,7 +114,7 @@ def write_archives(pages: DataFrame, chunk: int = CHUNK, least_bytes: int = LEAS
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = filesystem(folder)
         out, path, records, size = None, "", 0, 0
-        member = digest = wanted = None
+        member = head = digest = None
 
         def put(data: bytes) -> None:
             nonlocal size
@@ -96,34 +124,45 @@ def write_archives(pages: DataFrame, chunk: int = CHUNK, least_bytes: int = LEAS
         def close() -> None:
             nonlocal member
             if member is not None:
-                if wanted is not None and digest.hexdigest() != wanted:
+                if head["first_row"] is None and digest.hexdigest() != head["payload_digest"]:
                     raise ValueError(f"{path}: a record's chunks don't make up its payload")
                 put(member.compress(b"\r\n\r\n") + member.flush())
                 member = None
 
         for batch in batches:
-            for r in batch.to_pylist():
+            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "data"}
+            for i, data in enumerate(batch.column("data")):
+                r = {c: x[i] for c, x in columns.items()}
                 if out is None:
                     files.create_dir(root, recursive=True)
                     path = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.warc.gz"
                     out = files.open_output_stream(f"{root}/{path}", compression=None)
-                if r["chunk_no"] == 0:
+                if r["chunk_no"] < 0:
                     close()
-                    member, digest = zlib.compressobj(level, zlib.DEFLATED, 31), hashlib.sha256()
-                    wanted = None if r["record_type"] == "revisit" else r["payload_digest"]
+                    member, head, digest = zlib.compressobj(level, zlib.DEFLATED, 31), r, hashlib.sha256()
                     records += 1
                     put(member.compress(_headers(r)))
-                if r["data"] is not None:
-                    digest.update(r["data"])
-                    put(member.compress(r["data"]))
+                elif r["row"] != head["row"]:
+                    raise ValueError(f"{path}: a chunk without its record")
+                elif head["first_row"] is None:
+                    digest.update(data.as_buffer())
+                    put(member.compress(data.as_buffer()))
         if out is not None:
             close()
             out.close()
             yield pa.RecordBatch.from_pylist([{"path": path, "n_records": records, "n_bytes": size}], schema=pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())]))
 
-    rows = small_batches(record_rows(pages, chunk, least_bytes).sortWithinPartitions("_row", "chunk_no"))
+    chunks = written(chunk_rows(pages, chunk), "chunks")
+    again = written(revisits(chunks, least_bytes), "revisits")
+    kinds = chunks.schema
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in kinds.fields}
+    heads = chunks.where("is_last").drop("data", "chunk_no").join(again, "row", "left").select(*(F.lit(-1).alias(c) if c == "chunk_no" else none[c] if c == "data" else c for c in kinds.names), "first_page", "first_row")
+    bodies = chunks.select(*(c if c in ("row", "chunk_no", "data") else none[c] for c in kinds.names), F.lit(None).cast("long").alias("first_page"), F.lit(None).cast("long").alias("first_row"))
+    rows = small_batches(heads.unionByName(bodies).repartition("row").sortWithinPartitions("row", "chunk_no"))
     manifest = rows.mapInArrow(write, "path string, n_records long, n_bytes long").withColumn("path", F.concat(F.lit(folder.rstrip("/") + "/"), "path"))
-    return written(manifest, "warc-manifest")
+    done = written(manifest, "warc-manifest")
+    discard(chunks, again)
+    return done
 
 
 class _Reader:
@@ -210,6 +249,7 @@ def records_of(f, chunk: int = CHUNK, data: bool = True) -> Iterator[dict]:
             raise ValueError(f"{row['record_id']}: its block is longer than its header says")
 
 
+_CUT = pa.schema([("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("chunk_no", pa.int32()), ("is_last", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("data", pa.binary())])
 _CHUNK_ROWS = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("chunk_no", pa.int32()), ("is_last", pa.bool_()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("data", pa.binary())])
 
 
@@ -229,7 +269,7 @@ def read_archives(manifest: DataFrame, chunk: int = CHUNK, data: bool = True) ->
                     for row in records_of(f, chunk, data):
                         held.append(row)
                         size += len(row["data"] or b"") + 300
-                        if size > 4 << 20:
+                        if size > _HELD:
                             yield pa.RecordBatch.from_pylist(held, schema=_CHUNK_ROWS)
                             held, size = [], 0
                 if held:

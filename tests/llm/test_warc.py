@@ -62,3 +62,26 @@ def test_broken_archives(pages):
     with pytest.raises(ValueError):
         list(warc.records_of(io.BytesIO(gzip.compress(text.replace(b"Content-Length: 5", b"Content-Length: 6")))))
     assert list(warc.records_of(io.BytesIO(b""))) == []
+
+
+def test_chunk_rows_carry_running_digests(pages):
+    rows = defaultdict(dict)
+    for r in warc.chunk_rows(pages, 1000).collect():
+        rows[r.row][r.chunk_no] = r
+    assert len(rows) == len(ROWS)
+    for chunks in rows.values():
+        data = b""
+        for k in range(len(chunks)):
+            data += chunks[k].data
+            assert (chunks[k].payload_bytes, chunks[k].payload_digest, chunks[k].is_last) == (len(data), hashlib.sha256(data).hexdigest(), k == len(chunks) - 1)
+
+
+def test_pages_from_a_shuffle(spark):
+    """Every revisit names a record that was written, and each group has one response, whatever order rows come in."""
+    pages = spark.range(400).selectExpr("id % 130 AS page_id", "'u' AS url", "repeat(concat('payload ', id % 7), 40) AS html").repartition(7, "html").unionAll(spark.range(40).selectExpr("id", "'v'", "repeat('payload 3', 40)").repartition(3))
+    got = warc.read_archives(warc.write_archives(pages), data=False).where("is_last").collect()
+    responses = {r.record_id: r for r in got if r.record_type == "response"}
+    assert len(got) == 440 and len({r.record_id for r in got}) == 440 and len(responses) == len({r.payload_digest for r in got})
+    least = {d: min(r.page_id for r in got if r.payload_digest == d) for d in {r.payload_digest for r in got}}
+    assert all(r.page_id == least[r.payload_digest] for r in responses.values())
+    assert all(r.refers_to == least[r.payload_digest] for r in got if r.record_type == "revisit")
