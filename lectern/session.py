@@ -53,11 +53,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """`df` as a Parquet table in the shared folder: computed once, and safe from lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     table = spark.read.schema(df.schema).parquet(path)
     table._written_at = path
     return table
