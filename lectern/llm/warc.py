@@ -152,12 +152,13 @@ def write_archives(pages: DataFrame, chunk: int = CHUNK, least_bytes: int = LEAS
             out.close()
             yield pa.RecordBatch.from_pylist([{"path": path, "n_records": records, "n_bytes": size}], schema=pa.schema([("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64())]))
 
-    chunks = written(chunk_rows(pages, chunk), "chunks")
+    chunks = written(chunk_rows(pages, chunk), "chunks", "zstd")
     again = written(revisits(chunks, least_bytes), "revisits")
     kinds = chunks.schema
     none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in kinds.fields}
     heads = chunks.where("is_last").drop("data", "chunk_no").join(again, "row", "left").select(*(F.lit(-1).alias(c) if c == "chunk_no" else none[c] if c == "data" else c for c in kinds.names), "first_page", "first_row")
-    bodies = chunks.select(*(c if c in ("row", "chunk_no", "data") else none[c] for c in kinds.names), F.lit(None).cast("long").alias("first_page"), F.lit(None).cast("long").alias("first_row"))
+    # what is only revisited needn't travel
+    bodies = chunks.join(again.select("row"), "row", "left_anti").select(*(c if c in ("row", "chunk_no", "data") else none[c] for c in kinds.names), F.lit(None).cast("long").alias("first_page"), F.lit(None).cast("long").alias("first_row"))
     rows = small_batches(heads.unionByName(bodies).repartition("row").sortWithinPartitions("row", "chunk_no"))
     manifest = rows.mapInArrow(write, "path string, n_records long, n_bytes long").withColumn("path", F.concat(F.lit(folder.rstrip("/") + "/"), "path"))
     done = written(manifest, "warc-manifest")
