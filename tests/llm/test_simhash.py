@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -19,6 +20,16 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def brute_components(texts):
+    """For each text the index of the first in its component."""
+    prints = [brute_fingerprint(t) for t in texts]
+    group = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            group[i] = min(group[j] for j in range(len(texts)) if (prints[i] ^ prints[j]).bit_count() <= 2)
+    return group
+
+
 def brute(rows):
     prints = [brute_fingerprint(t) for _, t in rows]
     near = [[j for j in range(len(rows)) if j != i and (prints[i] ^ prints[j]).bit_count() <= 2] for i in range(len(rows))]
@@ -93,7 +104,26 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([(3, 3)], "x long, y long")).collect() == []
 
 
+def brute_kept(rows):
+    """The rows (id, text) that stay: the least of each component by id, then by digest."""
+    groups, out = brute_components([t for _, t in rows]), {}
+    for (d, t), g in zip(rows, groups):
+        key = (d is None, d or 0, hashlib.md5((t or "").encode()).hexdigest())
+        out[g] = min(out.get(g, (key, d, t)), (key, d, t), key=lambda x: x[0])
+    return sorted(((d, t or "") for _, d, t in out.values()), key=str)
+
+
 def test_one_of_each_group_stays(spark):
-    docs = spark.createDataFrame([(d, t, "s") for d, t in rows_with_copies()], "doc_id long, text string, source string")
-    kept = sorted(r.doc_id for r in simhash.representatives(docs).collect() if r.doc_id is not None)
-    assert kept == sorted({c for _, _, _, c in brute([x for x in rows_with_copies() if x[0] is not None])})
+    rows = rows_with_copies()
+    docs = spark.createDataFrame([(d, t, "s", 1) for d, t in rows], "doc_id long, text string, _keys string, fp long")
+    got = simhash.representatives(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text or "") for r in got.collect()), key=str) == brute_kept(rows)
+    assert simhash.representatives(docs.limit(0)).collect() == []
+
+
+def test_a_repeated_id_with_another_text_is_not_lost(spark):
+    a, b, c = (" ".join(f"{x}{i * 7919 % 83}" for i in range(60)) for x in "abc")
+    rows = [(2, a), (5, a), (5, b), (9, c), (9, c), (None, b), (None, None), (7, "")]
+    got = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(2, a), (5, b), (7, ""), (9, c)]
