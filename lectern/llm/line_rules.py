@@ -1,8 +1,8 @@
 """Quality rules: statistics of a text's words, and lines that recur across the documents of a host.
 
 A line is normalised (A-Z lowered, white space collapsed) and hashed. It is frequent on its host when it
-is in more distinct documents than `limit(documents of the host)`. Documents with equal lines throughout
-count once, so a text that was crawled a thousand times doesn't make its own lines frequent. Frequent
+is in more than MIN_DOCS distinct documents there, however large the host is. Documents with equal lines
+throughout count once, so a text that was crawled a thousand times doesn't make its own lines frequent. Frequent
 lines are removed from every document of the host; one that loses more than half of its words so is
 depleted and rejected, as is one that fails the base rules.
 """
@@ -13,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import doc_texts, rows_of, small_batches
@@ -21,11 +22,11 @@ from lectern.llm.kernels import Words, sums, text_bytes, xxh64
 from lectern.plans.skew import salted_lookup
 from lectern.session import written
 
-#: A line is frequent in more than MIN_DOCS documents of its host, and in more than SHARE of them.
-MIN_DOCS, SHARE = 20, 0.05
+#: A line is frequent in more than MIN_DOCS documents of its host.
+MIN_DOCS = 5
 #: A document that keeps less than this part of its words is depleted.
 LEAST_KEPT = 0.5
-#: Frequent lines that may be broadcast, 8 bytes each; beyond it they are joined by a shuffle.
+#: Frequent lines that may be broadcast, with their hosts; beyond it they are joined by a shuffle.
 BROADCAST_LINES = 200_000
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, removed_lines long, removed_words long, kept boolean, clean_text string"
@@ -50,45 +51,74 @@ def _by_line(raw: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, n
     return words, hashes, np.bincount(text, minlength=len(offsets) - 1)
 
 
+def _documents(texts: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A hash of all lines of each text, and its distinct line hashes."""
+    _, hashes, many = _by_line(*text_bytes(texts))
+    ends = np.cumsum(many)
+    lists, ids = [], []
+    for a, b in zip(ends - many, ends):
+        own = hashes[a:b]
+        own = own[own != 0]
+        ids.append(xxh64(own.view(np.uint8), np.zeros(1, np.int64), np.array([8 * len(own)]))[0])
+        lists.append(np.unique(own))
+    return np.array(ids, np.uint64).view(np.int64), lists
+
+
+def _with_document(rows: DataFrame) -> DataFrame:
+    """`rows` with `doc`, the hash of their lines, and `_row`, a number that differs among the rows of a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 36
+        for batch in rows_of(batches):
+            ids, _ = _documents(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids), pa.array(row + np.arange(len(ids)))], names=[*batch.schema.names, "doc", "_row"])
+            row += len(ids)
+
+    return rows.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", doc long, _row long")
+
+
 def line_hashes(docs: DataFrame) -> DataFrame:
     """host, doc (a hash of all lines of the document) and lines (its distinct line hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            _, hashes, many = _by_line(*text_bytes(batch.column("text")))
-            ends = np.cumsum(many)
-            lists, ids = [], []
-            for a, b in zip(ends - many, ends):
-                own = hashes[a:b]
-                own = own[own != 0]
-                ids.append(xxh64(own.view(np.uint8), np.zeros(1, np.int64), np.array([8 * len(own)]))[0])
-                lists.append(np.unique(own))
+            ids, lists = _documents(batch.column("text"))
             lengths = np.array([len(x) for x in lists])
             flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
             column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(np.array(ids, np.uint64).view(np.int64)), column], names=["host", "doc", "lines"])
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(ids), column], names=["host", "doc", "lines"])
 
     hosts = F.coalesce(F.col("source"), F.lit("")).alias("host")
     return doc_texts(docs, hosts).drop("doc_id").mapInArrow(run, "host string, doc long, lines array<long>")
 
 
-def frequent_lines(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
-    """host, lines (array of the hashes of its frequent lines) and n_docs; hosts without any are left out.
+def seen_lines(docs: DataFrame) -> DataFrame:
+    """host, doc, line and n, the rows of `docs` with that host and document, for the lines of each document."""
+    lines = line_hashes(docs).select("host", "doc", F.explode("lines").alias("line"))
+    return written(lines.groupBy("host", "doc", "line").agg(F.count("*").alias("n")), "lines")
 
-    A document's lines are at most its words, and a frequent line is in `share` of the documents, so
-    a host's array has at most 1 / share times the mean number of lines of its documents.
-    """
-    seen = written(line_hashes(docs).select("host", "doc", F.explode_outer("lines").alias("line")).distinct(), "lines")
-    hosts = written(seen.select("host", "doc").distinct().groupBy("host").agg(F.count("*").alias("n_docs")), "hosts")
-    often = seen.where("line is not null").groupBy("host", "line").agg(F.count("*").alias("in_docs")).where(F.col("in_docs") > min_docs)
-    often = salted_lookup(often, hosts.withColumn("_weight", F.col("n_docs")), "host", "_weight", hosts.agg(F.sum("n_docs")).first()[0] or 1, F.col("line"))
-    often = often.where(F.col("in_docs") > F.col("n_docs") * share)
-    return written(often.groupBy("host").agg(F.collect_list("line").alias("frequent"), F.max("n_docs").alias("n_docs")), "frequent-lines")
+
+def frequent_lines(seen: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """host, line and in_docs of the lines of `seen_lines` in more than `min_docs` distinct documents of a host."""
+    return written(seen.groupBy("host", "line").agg(F.count("*").alias("in_docs")).where(F.col("in_docs") > min_docs), "frequent-lines")
+
+
+def _by_document(seen: DataFrame, often: DataFrame) -> DataFrame:
+    """_key (of host and document), `frequent`, the document's own frequent lines, and n, its rows.
+
+    A line that very many documents share is spread over tasks; a document's list is never longer than itself."""
+    key = F.concat_ws(":", F.hex("line"), "host")
+    lines = often.select(key.alias("_line"), F.lit(True).alias("_often"), F.col("in_docs").alias("_weight"))
+    found = salted_lookup(seen.withColumn("_line", key), lines, "_line", "_weight", max(1, seen.count()), F.col("doc")).where("_often")
+    return found.groupBy(_document_key().alias("_key")).agg(F.collect_list("line").alias("frequent"), F.max("n").alias("n"))
+
+
+def _document_key() -> Column:
+    return F.concat_ws(":", F.hex("doc"), "host")
 
 
-def measure(batch: pa.RecordBatch, least_kept: float = LEAST_KEPT) -> list[pa.Array]:
-    """The MEASURES of a batch with columns text and frequent."""
-    column = batch.column("text")
+def measure(column: pa.Array, often: list[np.ndarray | None], least_kept: float = LEAST_KEPT) -> list[pa.Array]:
+    """The MEASURES of texts, given the hashes of the lines that are frequent on each one's host."""
     raw, offsets = text_bytes(column)
     texts = len(offsets) - 1
     words = Words(raw, offsets, lower=False)
@@ -121,7 +151,7 @@ def measure(batch: pa.RecordBatch, least_kept: float = LEAST_KEPT) -> list[pa.Ar
     line_words, hashes, many = _by_line(raw, offsets)
     dup, removed_lines, removed_words, clean = [], np.zeros(texts, np.int64), np.zeros(texts, np.int64), column.to_pylist()
     begins = np.cumsum(many) - many
-    for i, frequent in enumerate(batch.column("frequent").to_pylist()):
+    for i, frequent in enumerate(often):
         lines = None
         own = hashes[begins[i] : begins[i] + many[i]]
         # equal lines have equal hashes, so only texts with a repeated hash are looked at line by line
@@ -130,7 +160,7 @@ def measure(batch: pa.RecordBatch, least_kept: float = LEAST_KEPT) -> list[pa.Ar
         else:
             lines = [x for x, h in zip(clean[i].split("\n"), own) if h]
             dup.append(len(lines) - len(set(lines)))
-        if frequent:
+        if frequent is not None:
             out = np.isin(own, frequent) & (own != 0)
             if out.any():
                 removed_lines[i] = out.sum()
@@ -141,27 +171,35 @@ def measure(batch: pa.RecordBatch, least_kept: float = LEAST_KEPT) -> list[pa.Ar
     return [pa.array(np.asarray(x)) for x in (n_words, word_chars, n_symbols, np.array(dup, np.int64), n_repeat, failed, removed_lines, removed_words, kept)] + [pa.array(clean, pa.string())]
 
 
-def judge(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, least_kept: float = LEAST_KEPT, keep: tuple[str, ...] = (), text: bool = True) -> DataFrame:
+def judge(docs: DataFrame, min_docs: int = MIN_DOCS, least_kept: float = LEAST_KEPT, keep: tuple[str, ...] = (), text: bool = True) -> DataFrame:
     """doc_id, the columns `keep` and MEASURES for every row of `docs`; without `text`, clean_text is null.
 
     `clean_text` is the text without its host's frequent lines. A null text has no words and fails the
     base rules; a null source is the host "". Lines without words are never frequent or repeated. Rows that repeat a doc_id are judged each
-    for itself, and equal rows get equal verdicts. An empty table gives no rows.
+    for itself, and equal rows get equal verdicts. An empty table gives no rows. Up to BROADCAST_LINES frequent lines are sent
+    to all tasks once, and texts stay where they are; more are joined to the documents, whose copies are spread by row.
     """
-    lists = frequent_lines(docs, min_docs, share)
-    hosts = F.coalesce(F.col("source"), F.lit("")).alias("_host")
-    rows = small_batches(docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"), hosts, *(F.col(c).alias(f"_keep_{c}") for c in keep)))
-    lines = lists.agg(F.sum(F.size("frequent") + 8)).first()[0] or 0
-    if lines <= BROADCAST_LINES:
-        rows = rows.join(F.broadcast(lists.select(F.col("host").alias("_host"), "frequent")), "_host", "left")
+    seen = seen_lines(docs)
+    often = frequent_lines(seen, min_docs)
+    host = F.coalesce(F.col("source"), F.lit(""))
+    rows = small_batches(docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.col("text"), F.lit("")).alias("text"), host.alias("host"), *(F.col(c).alias(f"_keep_{c}") for c in keep)))
+    shared = None
+    if often.count() <= BROADCAST_LINES:
+        got = often.orderBy("host").toArrow()
+        hosts, line = got.column("host").to_pylist(), got.column("line").to_numpy()
+        edges = [i for i in range(len(hosts)) if not i or hosts[i] != hosts[i - 1]] + [len(hosts)]
+        shared = docs.sparkSession.sparkContext.broadcast({hosts[a]: line[a:b] for a, b in zip(edges, edges[1:])})
     else:
-        total = lists.agg(F.sum("n_docs")).first()[0]
-        rows = salted_lookup(rows, lists.select(F.col("host").alias("_host"), "frequent", "n_docs"), "_host", "n_docs", total, F.col("text"))
-    rows = rows.select("_doc", "text", "frequent", *(f"_keep_{c}" for c in keep))
+        rows = _with_document(rows).withColumn("_key", _document_key())
+        rows = salted_lookup(rows, _by_document(seen, often), "_key", "n", max(1, docs.count()), F.col("_row")).drop("_key", "_row", "doc")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows_of(batches):
-            found = measure(batch, least_kept)
+            if shared is not None:
+                lines = [shared.value.get(h) for h in batch.column("host").to_pylist()]
+            else:
+                lines = [None if x is None else np.array(x, np.int64) for x in batch.column("frequent").to_pylist()]
+            found = measure(batch.column("text"), lines, least_kept)
             if not text:
                 found[-1] = pa.nulls(batch.num_rows, pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("_doc"), *(batch.column(f"_keep_{c}") for c in keep), *found], names=["doc_id", *keep, *_NAMES])

@@ -90,8 +90,7 @@ i AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_zip(ws, ws[
 k AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, key) AS c FROM i),
 r AS (SELECT doc_id, count(DISTINCT j) AS repeated FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM k WHERE c > 1) GROUP BY doc_id),
 u AS (SELECT DISTINCT host, ns FROM n),
-h AS (SELECT host, count(*) AS docs FROM u GROUP BY host),
-f AS (SELECT host, line FROM (SELECT host, line, count(*) AS c FROM (SELECT host, unnest(list_distinct(ns)) AS line FROM u) GROUP BY host, line) JOIN h USING (host) WHERE c > 20 AND c > 0.05 * docs),
+f AS (SELECT host, line FROM (SELECT host, unnest(list_distinct(ns)) AS line FROM u) GROUP BY host, line HAVING count(*) > 5),
 g AS (SELECT doc_id, count(*) AS removed_lines, sum(words) AS removed_words FROM (SELECT doc_id, host, unnest(ns) AS line, len(string_split(line, ' ')) AS words FROM n) JOIN f USING (host, line) GROUP BY doc_id),
 m AS (SELECT n.doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,

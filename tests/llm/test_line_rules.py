@@ -6,7 +6,7 @@ from lectern.llm import line_rules
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
-def brute(rows, min_docs, share, least):
+def brute(rows, min_docs, least):
     norm = lambda line: " ".join(w.encode().lower().decode() for w in WORD.findall(line))
     docs = defaultdict(set)
     for _, text, source in rows:
@@ -14,7 +14,7 @@ def brute(rows, min_docs, share, least):
     often = {}
     for host, texts in docs.items():
         seen = Counter(x for t in texts for x in set(t))
-        often[host] = {x for x, n in seen.items() if n > min_docs and n > share * len(texts)}
+        often[host] = {x for x, n in seen.items() if n > min_docs}
     out = []
     for doc, text, source in rows:
         text = text or ""
@@ -41,13 +41,13 @@ def test_against_brute_force(spark, sf):
     rows += [(1200, "the very same page\n" * 30 + body(7), "copies")] * 40
     rows += [(1300, "x y z " * 60, "hot"), (1301, None, None), (1301, "", None), (None, "\n\n \t\n", "hot"), (None, body(3), None), (1302, "\x0b".join(map(str, range(80))) + "\n\n", ""), (1303, "long " * 40_000, "hot"), (1304, "a\nb\na\n a\nb \n" + body(5), "hot")]
     docs = spark.createDataFrame([(*r, 1, "y") for r in rows], "doc_id long, text string, source string, n_words int, frequent string")
-    got = sorted((tuple(r) for r in line_rules.judge(docs, min_docs=5, share=0.1).collect()), key=str)
-    assert got == brute(rows, 5, 0.1, 0.5)
+    got = sorted((tuple(r) for r in line_rules.judge(docs, min_docs=5).collect()), key=str)
+    assert got == brute(rows, 5, 0.5)
     assert any(not r[9] and not r[6] for r in got) and any(r[9] and r[7] for r in got)
     shuffled = line_rules.BROADCAST_LINES
     try:
         line_rules.BROADCAST_LINES = -1
-        assert sorted((tuple(r) for r in line_rules.judge(docs, min_docs=5, share=0.1).collect()), key=str) == got
+        assert sorted((tuple(r) for r in line_rules.judge(docs, min_docs=5).collect()), key=str) == got
     finally:
         line_rules.BROADCAST_LINES = shuffled
     assert line_rules.judge(docs.limit(0)).collect() == []

@@ -35,7 +35,7 @@ def test_columns_and_order(stages):
 
 def test_quality(stages):
     rows = list(zip(stages[0].doc_id, stages[0].text, stages[0].source))
-    want = {r[0]: r[10] for r in brute_rules(rows, line_rules.MIN_DOCS, line_rules.SHARE, line_rules.LEAST_KEPT) if r[9]}
+    want = {r[0]: r[10] for r in brute_rules(rows, line_rules.MIN_DOCS, line_rules.LEAST_KEPT) if r[9]}
     assert dict(zip(stages[1].doc_id, stages[1].text)) == want
 
 
