@@ -1,5 +1,7 @@
 import math
 import random
+import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -31,40 +33,78 @@ def test_remainders(docs):
         assert r.m == zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 7
 
 
-def test_language_against_brute_force_bayes(docs):
+def brute_grams(text):
+    """The 2- to 4-character grams of the normalised text, as strings."""
+    plain = " ".join(re.split(r"[\x00-\x20\x7f-\xa0\s]+", text)).strip().lower()
+    return [plain[i : i + n] for n in (2, 3, 4) for i in range(len(plain) - n + 1)]
+
+
+def brute_bucket(gram):
+    """The bucket of one gram, letter by letter in Python integers."""
+    h = 0
+    for c in gram:
+        h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+        h ^= h >> 29
+    return h * 0xBF58476D1CE4E5B9 % 2**64 >> 48
+
+
+@pytest.mark.parametrize("most", [4, 17, 1000])
+def test_grams_by_brute_force(most):
+    texts = ["ab", "c", "", " x  yz\n", "né", "Straße 語 \U0001f600 end", "\x00\t", "a" * 90]
+    got = [[] for _ in texts]
+    for own, buckets, many in langid.gram_slices(texts, most):
+        at = 0
+        for i, n in zip(own, many):
+            got[i] += buckets[at : at + n].tolist()
+            at += n
+    assert [sorted(x) for x in got] == [sorted(map(brute_bucket, brute_grams(t))) for t in texts]
+
+
+@pytest.mark.parametrize("at_once", [64, 2])
+def test_language_against_brute_force_bayes(docs, at_once, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES_AT_ONCE", at_once)
+    monkeypatch.setattr(langid, "BLOCK", 1000)
     model = langid.fit(docs, split_remainder(5) != 0)
     rows = docs.select("doc_id", "text", "lang", (split_remainder(5) != 0).alias("train")).collect()
-    counts, seen = {x: np.zeros(1 << 16) for x in TONGUES}, Counter()
-    grams = lambda text: langid.gram_buckets(pa.array([text]))[0]
+    counts, seen = {x: Counter() for x in TONGUES}, Counter()
+    grams = lambda text: Counter(map(brute_bucket, brute_grams(text)))
     for r in rows:
         if r.train and r.text is not None and r.lang:
             seen[r.lang] += 1
-            np.add.at(counts[r.lang], grams(r.text), 1)
+            counts[r.lang].update(grams(r.text))
     assert model.languages == sorted(seen)
     for got in langid.predict(docs, model, F.col("lang").alias("told"), F.col("text").alias("t")).collect():
         if not got.t or got.t == "12 34 !!":
             assert (got.lang_pred, got.score) == ("und", 0.0)
             continue
-        logs = [math.log(seen[x] / sum(seen.values())) + np.log((counts[x][grams(got.t)] + 0.5) / (counts[x].sum() + 0.5 * 65536)).sum() for x in model.languages]
-        assert got.lang_pred == model.languages[int(np.argmax(logs))] and got.score > 0.99
+        own = grams(got.t)
+        logs = [math.log(seen[x] / sum(seen.values())) + sum(n * math.log((counts[x][g] + 0.5) / (sum(counts[x].values()) + 0.5 * 65536)) for g, n in own.items()) for x in model.languages]
+        top = max(logs)
+        assert got.lang_pred == model.languages[logs.index(top)]
+        assert got.score == pytest.approx(1 / sum(math.exp(x - top) for x in logs), abs=1e-3) and got.score > 0.99
         assert got.told in (None, got.lang_pred)
 
 
-def test_grams_stay_within_a_text():
-    texts = ["ab", "c", "", " x  yz\n", "né"]
-    both, many = langid.gram_buckets(pa.array(texts))
-    at = 0
-    for t, n in zip(texts, many):
-        own, (k,) = langid.gram_buckets(pa.array([t]))
-        assert k == n and own.tolist() == both[at : at + n].tolist()
-        at += n
+def test_many_languages_in_bounded_memory():
+    """A thousand languages at once: products are held a block at a time, and one text may be long."""
+    rng = np.random.default_rng(0)
+    log_p = rng.normal(0, 1, (1 << 16, 1000)).astype(np.float32)
+    text = "".join(map(chr, rng.integers(97, 123, 30_000)))
+    (_, buckets, many) = next(langid.gram_slices([text]))
+    tracemalloc.start()
+    got = langid.products(buckets, many, log_p)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20  # all at once: 360 MB and more
+    tracemalloc.stop()
+    assert np.allclose(got[0], np.bincount(buckets, minlength=1 << 16) @ log_p.astype(np.float64), rtol=1e-6, atol=1e-3)
 
 
-def test_nothing_learned_and_too_much(docs):
+def test_nothing_learned_and_hundreds_of_languages(docs):
     empty = langid.fit(docs.limit(0), F.lit(True))
     assert {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
-    with pytest.raises(ValueError):
-        langid.fit(docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000)).withColumn("lang", F.concat(F.lit("l"), F.coalesce("doc_id", F.lit(0)))), F.lit(True))
+    each = docs.where("doc_id < 240").withColumn("lang", F.format_string("l%03d", "doc_id")).withColumn("text", F.concat(F.repeat(F.concat(F.hex(F.xxhash64("doc_id")), F.lit("g ")), 9), "text"))
+    model = langid.fit(each, F.lit(True))
+    assert len(model.languages) == 240 > 3 * langid.LANGUAGES_AT_ONCE
+    assert all(r.told == r.lang_pred for r in langid.predict(each, model, F.col("lang").alias("told")).collect())
 
 
 def brute_base(rows):
