@@ -1,17 +1,19 @@
-"""Language-model scoring with a class-factored log-bilinear model, trained by noise contrast in numpy.
-
-P(word | context) = P(class | context) * P(word | class). Classes are the most frequent words, each for
-itself, buckets of all other words by their last three bytes, and the text's end. The class part is
-log-bilinear: the prediction vector is the sum of the context classes' vectors, each scaled by its
-position, and a class's score is the product with its own vector plus a bias; one matrix product and a
-softmax over all classes normalise it. Within a bucket, words have their add-one frequencies, with one
-share for all unknown words, so the probabilities of all words and the unknown one add up to 1.
-
-Words are known by the XXH64 of their bytes. All training documents count: word counts are summed
-over all of them by a shuffle, and the noise-contrastive training passes over all their tokens. Each
-task trains from the same start on its own documents, and the weights are averaged by tokens.
-The counts of the HEAD most frequent words are broadcast (a fixed bound); those of the others, which are
-none of them hot, come by a join.
+"""Language-model scoring with a hierarchical log-bilinear model, trained by noise contrast in numpy.
+
+P(word | context) = P(group | context) * P(class | group, context) * P(word | class). Classes are the 2,047
+most frequent words, each for itself, 2,048 buckets of all other words by their last three bytes, and the text's
+end; they are dealt out to 64 groups of 64 by rank. Groups and classes have vectors of their own; the prediction
+vector is the sum of the context classes' vectors, each scaled by its position, and a score is the product with
+a vector plus a bias. Two matrix products and softmaxes of 64 normalise a token. Within a bucket, words have their
+add-one frequencies, with one share for all unknown words, so the probabilities of all words and the unknown one
+add up to 1.
+
+Words are known by the XXH64 of their bytes. All training documents count: word counts are summed over all of
+them by a shuffle, and the noise-contrastive training passes over all their tokens. The documents are split by hash
+into shards of about SHARD_TOKENS tokens, so there are more as the input grows; each shard is trained from the same
+start in the order of its hashes, and the changes are averaged by tokens. So the model follows from the documents
+alone, however many tasks there are (to the rounding of a sum). The counts of the HEAD most frequent words are
+broadcast (a fixed bound); those of the others, which are none of them hot, come by a join.
 """
 
 from __future__ import annotations
@@ -29,12 +31,17 @@ from lectern.llm.common import doc_texts, rows_of
 from lectern.llm.kernels import Words, sums, text_bytes
 from lectern.session import written
 
-SINGLES, BUCKETS = 255, 256
+SINGLES, BUCKETS = 2047, 2048
 CLASSES = SINGLES + BUCKETS + 1
+GROUPS = 64
+SIZE = CLASSES // GROUPS
 END, PAD = CLASSES - 1, CLASSES
 HEAD = 1 << 18
 CONTEXT, WIDTH = 3, 24
-NOISE, BATCH, RATE = 64, 2048, 0.08
+NOISE, GROUP_NOISE, BATCH, RATE = 64, 16, 2048, 0.08
+SHARD_TOKENS = 1 << 19
+_TEXT = 1 << 20
+_NEVER = -1e30
 #: Distinct words that a task holds before it hands their counts on.
 _HELD = 2_000_000
 
@@ -49,7 +56,8 @@ class Vocabulary:
     tokens: int
     types: int
     docs: int
-    mass: np.ndarray  # add-one mass by class; of a bucket with its unknown word
+    mass: np.ndarray  # add-one mass by class; of a bucket with its unknown word, 0 of a class that no word has
+    place: np.ndarray  # of a class: its group's number times SIZE, and its number there
 
     @property
     def base_norm(self) -> float:
@@ -58,23 +66,29 @@ class Vocabulary:
 
 @dataclass
 class Weights:
+    """Of classes, and of contexts, by their place; of groups by number."""
+
     context: np.ndarray
     output: np.ndarray
-    position: np.ndarray
     bias: np.ndarray
+    group: np.ndarray
+    group_bias: np.ndarray
+    position: np.ndarray
     squares: list = field(default_factory=list)
 
     def parts(self) -> list[np.ndarray]:
-        return [self.context, self.output, self.position, self.bias]
+        return [self.context, self.output, self.bias, self.group, self.group_bias, self.position]
 
 
 def start_weights(vocabulary: Vocabulary) -> Weights:
     """Without context effects at first, so that the model starts as its classes' frequencies."""
     rng = np.random.default_rng(11)
     context = rng.normal(0, 0.3, (CLASSES + 1, WIDTH)).astype(np.float32)
-    p = vocabulary.mass / vocabulary.mass.sum()
+    p = np.zeros(CLASSES)
+    p[vocabulary.place] = vocabulary.mass / vocabulary.mass.sum()
     position = np.array([[1.0], [0.6], [0.4], [0.3], [0.2]][:CONTEXT], np.float32).repeat(WIDTH, 1)
-    return Weights(context, np.zeros((CLASSES, WIDTH), np.float32), position, np.log(p).astype(np.float32))
+    log = lambda x: np.where(x > 0, np.log(np.maximum(x, 1e-300)), _NEVER).astype(np.float32)
+    return Weights(context, np.zeros((CLASSES, WIDTH), np.float32), log(p), np.zeros((GROUPS, WIDTH), np.float32), log(p.reshape(GROUPS, SIZE).sum(1)), position)
 
 
 def buckets_of(words: Words) -> np.ndarray:
@@ -148,18 +162,21 @@ def gather(counts: DataFrame, head: int = HEAD) -> Vocabulary:
     single = rank[:SINGLES]
     classes[single] = np.arange(len(single))
     mass = np.ones(CLASSES)
-    mass[:SINGLES] = 1e-9  # as long as no word has the class
+    mass[:SINGLES] = 0
     mass[: len(single)] = n[single] + 1
     mass[END] = docs + 1
     for b, s in words.groupBy("bucket").agg(F.sum(F.col("n") + 1).alias("s")).collect():
         mass[SINGLES + b] += s
     np.subtract.at(mass, SINGLES + bucket[single], n[single] + 1.0)
+    place = np.empty(CLASSES, np.int64)
+    dealt = np.arange(CLASSES)
+    place[np.argsort(-mass, kind="stable")] = dealt % GROUPS * SIZE + dealt // GROUPS
     order = np.argsort(h.view(np.uint64))
-    return Vocabulary(h.view(np.uint64)[order], n[order].astype(np.int64), classes[order], int(total) + docs, int(types) + (docs > 0), int(docs), mass)
+    return Vocabulary(h.view(np.uint64)[order], n[order].astype(np.int64), classes[order], int(total) + docs, int(types) + (docs > 0), int(docs), mass, place)
 
 
 class Sequences:
-    """The class of every token of a batch's texts, ends included, with its context and its counts."""
+    """The place of every token's class in a batch's texts, ends included, with its context and its counts."""
 
     def __init__(self, texts: pa.Array, vocabulary: Vocabulary):
         words = Words(*text_bytes(texts))
@@ -179,6 +196,7 @@ class Sequences:
         inner = np.ones(len(self.classes), bool)
         inner[ends - 1] = False
         self.classes[inner] = self.word_class
+        self.classes = v.place[self.classes]
         place = np.arange(len(self.classes)) - np.repeat(ends - self.lengths, self.lengths)
         self.context = np.full((CONTEXT, len(self.classes)), PAD, np.int64)
         for i in range(CONTEXT):
@@ -186,68 +204,102 @@ class Sequences:
             self.context[i, place <= i] = PAD
 
 
-def _scatter(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+def _rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct `rows`, and the sum of the values of each."""
     order = np.argsort(rows, kind="stable")
     rows = rows[order]
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    into[rows[first]] += np.add.reduceat(values[order], first, axis=0)
+    return rows[first], np.add.reduceat(values[order], first, axis=0)
 
 
 def train(w: Weights, s: Sequences, noise_p: np.ndarray, rng: np.random.Generator) -> None:
-    """Noise-contrastive steps with AdaGrad over all tokens, in batches that share their noise classes."""
+    """Noise-contrastive steps with AdaGrad over all tokens, in batches that share their noise classes and groups."""
     if not w.squares:
         w.squares = [np.full_like(x, 1e-2) for x in w.parts()]
-    log_kq = np.log(NOISE * noise_p).astype(np.float32)
-    cdf = np.cumsum(noise_p)
+    group_p = noise_p.reshape(GROUPS, SIZE).sum(1)
+
+    def step(part: int, rows: np.ndarray, values: np.ndarray) -> None:
+        """An AdaGrad step of the rows of a part."""
+        rows, g = _rows(rows, values)
+        w.squares[part][rows] += g * g
+        w.parts()[part][rows] += RATE * g / np.sqrt(w.squares[part][rows])
+
+    levels = []
+    for p, many, vectors, bias in ((noise_p, NOISE, 1, 2), (group_p, GROUP_NOISE, 3, 4)):
+        levels.append((np.cumsum(p), np.log(many * np.maximum(p, 1e-300)).astype(np.float32), many, vectors, bias))
     for a in range(0, len(s.classes), BATCH):
-        target, context = s.classes[a : a + BATCH], s.context[:, a : a + BATCH]
+        targets, context = s.classes[a : a + BATCH], s.context[:, a : a + BATCH]
         vectors = [w.context[c] for c in context]
         r = sum(v * p for v, p in zip(vectors, w.position))
-        noise = np.minimum(np.searchsorted(cdf, rng.random(NOISE) * cdf[-1]), CLASSES - 1)
-        out = w.output[target]
-        real = (out * r).sum(1) + w.bias[target] - log_kq[target]
-        false = r @ w.output[noise].T + (w.bias[noise] - log_kq[noise])
-        g_real = 0.5 - 0.5 * np.tanh(0.5 * real)  # 1 - sigmoid
-        g_false = -0.5 - 0.5 * np.tanh(0.5 * false)  # -sigmoid
-        g_r = g_real[:, None] * out + g_false @ w.output[noise]
-        grads = [np.zeros_like(x) for x in w.parts()]
-        _scatter(grads[1], target, g_real[:, None] * r)
-        np.add.at(grads[1], noise, g_false.T @ r)
-        grads[3] += np.bincount(target, g_real, CLASSES).astype(np.float32)
-        grads[3] += np.bincount(noise, g_false.sum(0), CLASSES).astype(np.float32)
-        for i in range(CONTEXT):
-            _scatter(grads[0], context[i], g_r * w.position[i])
-            grads[2][i] = (g_r * vectors[i]).sum(0)
-        for x, g, q in zip(w.parts(), grads, w.squares):
-            q += g * g
-            x += RATE * g / np.sqrt(q)
-
-
-def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Weights:
-    """Weights from all texts of `docs`: in each round every task trains from the last average."""
+        g_r = 0
+        for (cdf, log_kq, many, at, at_bias), target in zip(levels, (targets, targets // SIZE)):
+            table, bias = w.parts()[at], w.parts()[at_bias]
+            noise = np.searchsorted(cdf, rng.random(many) * cdf[-1], side="right")
+            noise = np.minimum(noise, len(cdf) - 1)
+            out = table[target]
+            real = (out * r).sum(1) + bias[target] - log_kq[target]
+            false = r @ table[noise].T + (bias[noise] - log_kq[noise])
+            g_real = 0.5 - 0.5 * np.tanh(0.5 * real)  # 1 - sigmoid
+            g_false = -0.5 - 0.5 * np.tanh(0.5 * false)  # -sigmoid
+            g_r = g_r + g_real[:, None] * out + g_false @ table[noise]
+            both = np.concatenate([target, noise])
+            step(at, both, np.concatenate([g_real[:, None] * r, g_false.T @ r]))
+            step(at_bias, both, np.concatenate([g_real, g_false.sum(0)]).astype(np.float32))
+        step(0, context.ravel(), np.concatenate([g_r * p for p in w.position]))
+        step(5, np.arange(CONTEXT), np.stack([(g_r * v).sum(0) for v in vectors]))
+
+
+def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, shard_tokens: int = SHARD_TOKENS) -> Weights:
+    """Weights from all texts of `docs`: in each round every shard is trained from the last average."""
     w = start_weights(vocabulary)
     shapes = [x.shape for x in w.parts()]
     context = docs.sparkSession.sparkContext
     told = context.broadcast(vocabulary)
+    shards = max(1, -(-vocabulary.tokens // shard_tokens))
+    key = F.xxhash64("doc_id", "text")
+    rows = doc_texts(docs).withColumn("key", key).withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
+    tasks = min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), context.defaultParallelism))
+    rows = rows.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int")).sortWithinPartitions("shard", "key", "doc_id")
     for turn in range(rounds):
         begin = context.broadcast(w)
 
         def run(batches: Iterator[pa.RecordBatch], begin=begin, turn=turn) -> Iterator[pa.RecordBatch]:
             v, b = told.value, begin.value
-            own = Weights(*(x.copy() for x in b.parts()))
-            noise_p = v.mass / v.mass.sum()
-            rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
-            tokens = 0
+            noise_p = np.zeros(CLASSES)
+            noise_p[v.place] = v.mass / v.mass.sum()
+            flat = np.zeros(sum(x.size for x in b.parts()) + 1)
+            held: list[str] = []
+            size, shard, own, rng, tokens = 0, None, None, None, 0
+
+            def learn() -> None:
+                nonlocal size, tokens
+                if held:
+                    s = Sequences(pa.array(held, pa.large_string()), v)
+                    train(own, s, noise_p, rng)
+                    tokens += len(s.classes)
+                held.clear()
+                size = 0
+
+            def close() -> None:
+                learn()
+                flat[:-1] += np.concatenate([(x - y).ravel() for x, y in zip(own.parts(), b.parts())]).astype(np.float64) * tokens
+                flat[-1] += tokens
+
             for batch in rows_of(batches):
-                s = Sequences(batch.column("text"), v)
-                train(own, s, noise_p, rng)
-                tokens += len(s.classes)
-            if tokens:
-                flat = np.concatenate([(x - y).ravel() for x, y in zip(own.parts(), b.parts())]).astype(np.float64) * tokens
-                flat = np.append(flat, tokens)
+                for text, number in zip(batch.column("text").to_pylist(), batch.column("shard").to_pylist()):
+                    if number != shard:
+                        if own is not None:
+                            close()
+                        shard, own, rng, tokens = number, Weights(*(x.copy() for x in b.parts())), np.random.default_rng([turn, number]), 0
+                    held.append(text)
+                    size += len(text)
+                    if size >= _TEXT:
+                        learn()
+            if own is not None:
+                close()
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "x"])
 
-        summed = doc_texts(docs).mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+        summed = rows.select("text", "shard").mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
         if not summed.num_rows:
             return w
         flat = np.zeros(summed.num_rows)
@@ -262,19 +314,31 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1) -> Weights:
     return w
 
 
-def class_log_probs(w: Weights, s: Sequences, step: int = 4096) -> np.ndarray:
-    """log10 P(class | context) of every token, by one matrix product and a softmax a batch."""
+def _log_softmax(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The log probability of the chosen column of each row; `scores` is overwritten."""
+    target = scores[np.arange(len(scores)), chosen].astype(np.float64)
+    top = scores.max(1, keepdims=True)
+    scores -= top
+    np.exp(scores, out=scores)
+    return target - top[:, 0] - np.log(scores.sum(1, dtype=np.float64))
+
+
+def class_log_probs(w: Weights, s: Sequences, step: int = 1 << 15) -> np.ndarray:
+    """log10 P(class | context) of every token: a matrix product and a softmax over the groups, and one over the
+    classes of each group for the tokens that it holds."""
     out = np.empty(len(s.classes))
     for a in range(0, len(s.classes), step):
-        context = s.context[:, a : a + step]
-        r = sum(w.context[c] * p for c, p in zip(context, w.position))
-        scores = r @ w.output.T
-        scores += w.bias
-        target = scores[np.arange(len(scores)), s.classes[a : a + step]].astype(np.float64)
-        top = scores.max(1, keepdims=True)
-        scores -= top
-        np.exp(scores, out=scores)
-        out[a : a + step] = target - top[:, 0] - np.log(scores.sum(1, dtype=np.float64))
+        context, classes = s.context[:, a : a + step], s.classes[a : a + step]
+        order = np.argsort(classes // SIZE, kind="stable")
+        r = sum(w.context[c] * p for c, p in zip(context[:, order], w.position))
+        group, own = classes[order] // SIZE, np.empty(len(classes))
+        own[:] = _log_softmax(r @ w.group.T + w.group_bias, group)
+        ends = np.cumsum(np.bincount(group, minlength=GROUPS))
+        for g, (x, y) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+            if x < y:
+                part = slice(g * SIZE, (g + 1) * SIZE)
+                own[x:y] += _log_softmax(r[x:y] @ w.output[part].T + w.bias[part], classes[order[x:y]] - g * SIZE)
+        out[a + order] = own
     return out / np.log(10)
 
 
@@ -291,7 +355,7 @@ def score_texts(docs: DataFrame, vocabulary: Vocabulary, w: Weights, more: list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w = told.value, weights.value
         row = TaskContext.get().partitionId() << 36
-        log_mass = np.log10(v.mass)
+        log_mass = np.log10(np.maximum(v.mass, 1))
         for batch in rows_of(batches):
             s = Sequences(batch.column("text"), v)
             many = s.words.count

@@ -148,12 +148,27 @@ def test_probabilities_add_up_to_one(docs):
     s = lbl.Sequences(pa.array(["bana lomi kraut"]), v)
     totals = np.zeros(len(s.classes))
     for k in range(lbl.CLASSES):
+        s.classes = np.full(len(s.classes), v.place[k])
+        p = 10 ** lbl.class_log_probs(w, s)
         if k < lbl.SINGLES and k not in used:
-            assert v.mass[k] < 1e-6  # an empty class, which no word has
-            continue
-        s.classes = np.full(len(s.classes), k)
-        totals += 10 ** lbl.class_log_probs(w, s) * share[k]
-    assert (totals <= 1 + 1e-6).all() and (totals > 0.98).all()
+            assert v.mass[k] == 0 and p.max() < 1e-12  # an empty class, which no word has
+        totals += p * share[k]
+    assert np.abs(totals - 1).max() < 1e-6
+
+
+def test_scores_do_not_depend_on_the_tasks(docs):
+    train = split_remainder(7) != 2
+    one, many = (sorted((r.n_tokens, r.score) for r in lbl.score(docs.repartition(n), train).collect()) for n in (1, 9))
+    assert [x[0] for x in one] == [x[0] for x in many] and np.allclose([x[1] for x in one], [x[1] for x in many], rtol=1e-5)
+
+
+def test_more_text_is_more_shards(docs):
+    """With shards of 500 tokens the same table is trained in many, and the model still gains on its classes' frequencies."""
+    counts = lbl.count_words(docs).cache()
+    v = lbl.gather(counts)
+    s = lbl.Sequences(pa.array([r.text for r in docs.where("doc_id < 200 AND text IS NOT NULL").collect()]), v)
+    start, some = (lbl.class_log_probs(w, s).mean() for w in (lbl.start_weights(v), lbl.fit(docs, v, shard_tokens=5000)))
+    assert some > start
 
 
 def test_empty_tables(docs):
