@@ -19,7 +19,7 @@ broadcast (a fixed bound); those of the others, which are none of them hot, come
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +59,11 @@ class Vocabulary:
     mass: np.ndarray  # add-one mass by class; of a bucket with its unknown word, 0 of a class that no word has
     place: np.ndarray  # of a class: its group's number times SIZE, and its number there
 
+    def singles(self) -> "Vocabulary":
+        """With the words of a class of their own alone, which is all that training looks up."""
+        own = self.classes >= 0
+        return replace(self, hashes=self.hashes[own], counts=self.counts[own], classes=self.classes[own])
+
     @property
     def base_norm(self) -> float:
         return float(np.log10(self.tokens + self.types + 1))
@@ -204,12 +209,18 @@ class Sequences:
             self.context[i, place <= i] = PAD
 
 
-def _rows(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct `rows`, and the sum of the values of each."""
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    return rows[first], np.add.reduceat(values[order], first, axis=0)
+def _sorted(rows: np.ndarray) -> np.ndarray:
+    """The stable order of small numbers: in 16 bits numpy counts them rather than comparing."""
+    return np.argsort(rows.astype(np.uint16), kind="stable")
+
+
+def _odds(x: np.ndarray) -> np.ndarray:
+    """The logistic function, in place."""
+    np.negative(x, out=x)
+    np.minimum(x, 80, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def train(w: Weights, s: Sequences, noise_p: np.ndarray, rng: np.random.Generator) -> None:
@@ -218,11 +229,17 @@ def train(w: Weights, s: Sequences, noise_p: np.ndarray, rng: np.random.Generato
         w.squares = [np.full_like(x, 1e-2) for x in w.parts()]
     group_p = noise_p.reshape(GROUPS, SIZE).sum(1)
 
-    def step(part: int, rows: np.ndarray, values: np.ndarray) -> None:
-        """An AdaGrad step of the rows of a part."""
-        rows, g = _rows(rows, values)
-        w.squares[part][rows] += g * g
-        w.parts()[part][rows] += RATE * g / np.sqrt(w.squares[part][rows])
+    def step(part: int, rows: np.ndarray, values: np.ndarray, more: tuple[int, np.ndarray] | None = None) -> None:
+        """An AdaGrad step of the rows of a part, and of those of a second one."""
+        order = _sorted(rows)
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        rows = rows[first]
+        for at, v in ((part, values), *([more] if more else [])):
+            g, x, q = np.add.reduceat(v[order], first, axis=0), w.parts()[at], w.squares[at]
+            total = q[rows] + g * g
+            q[rows] = total
+            x[rows] += RATE * g / np.sqrt(total)
 
     levels = []
     for p, many, vectors, bias in ((noise_p, NOISE, 1, 2), (group_p, GROUP_NOISE, 3, 4)):
@@ -239,12 +256,10 @@ def train(w: Weights, s: Sequences, noise_p: np.ndarray, rng: np.random.Generato
             out = table[target]
             real = (out * r).sum(1) + bias[target] - log_kq[target]
             false = r @ table[noise].T + (bias[noise] - log_kq[noise])
-            g_real = 0.5 - 0.5 * np.tanh(0.5 * real)  # 1 - sigmoid
-            g_false = -0.5 - 0.5 * np.tanh(0.5 * false)  # -sigmoid
+            g_real, g_false = 1 - _odds(real), -_odds(false)
             g_r = g_r + g_real[:, None] * out + g_false @ table[noise]
             both = np.concatenate([target, noise])
-            step(at, both, np.concatenate([g_real[:, None] * r, g_false.T @ r]))
-            step(at_bias, both, np.concatenate([g_real, g_false.sum(0)]).astype(np.float32))
+            step(at, both, np.concatenate([g_real[:, None] * r, g_false.T @ r]), (at_bias, np.concatenate([g_real, g_false.sum(0)])))
         step(0, context.ravel(), np.concatenate([g_r * p for p in w.position]))
         step(5, np.arange(CONTEXT), np.stack([(g_r * v).sum(0) for v in vectors]))
 
@@ -254,7 +269,7 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, shard_tokens:
     w = start_weights(vocabulary)
     shapes = [x.shape for x in w.parts()]
     context = docs.sparkSession.sparkContext
-    told = context.broadcast(vocabulary)
+    told = context.broadcast(vocabulary.singles())
     shards = max(1, -(-vocabulary.tokens // shard_tokens))
     key = F.xxhash64("doc_id", "text")
     rows = doc_texts(docs).withColumn("key", key).withColumn("shard", F.pmod("key", F.lit(shards)).cast("int"))
@@ -315,29 +330,29 @@ def fit(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 1, shard_tokens:
 
 
 def _log_softmax(scores: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """The log probability of the chosen column of each row; `scores` is overwritten."""
-    target = scores[np.arange(len(scores)), chosen].astype(np.float64)
-    top = scores.max(1, keepdims=True)
+    """The log probability of the chosen row of each column; `scores` is overwritten."""
+    target = scores[chosen, np.arange(len(chosen))].astype(np.float64)
+    top = scores.max(0)
     scores -= top
     np.exp(scores, out=scores)
-    return target - top[:, 0] - np.log(scores.sum(1, dtype=np.float64))
+    return target - top - np.log(scores.sum(0, dtype=np.float64))
 
 
-def class_log_probs(w: Weights, s: Sequences, step: int = 1 << 15) -> np.ndarray:
+def class_log_probs(w: Weights, s: Sequences, step: int = 1 << 14) -> np.ndarray:
     """log10 P(class | context) of every token: a matrix product and a softmax over the groups, and one over the
     classes of each group for the tokens that it holds."""
     out = np.empty(len(s.classes))
     for a in range(0, len(s.classes), step):
         context, classes = s.context[:, a : a + step], s.classes[a : a + step]
-        order = np.argsort(classes // SIZE, kind="stable")
+        order = _sorted(classes // SIZE)
         r = sum(w.context[c] * p for c, p in zip(context[:, order], w.position))
-        group, own = classes[order] // SIZE, np.empty(len(classes))
-        own[:] = _log_softmax(r @ w.group.T + w.group_bias, group)
-        ends = np.cumsum(np.bincount(group, minlength=GROUPS))
-        for g, (x, y) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist())):
+        group, inner = np.divmod(classes[order], SIZE)
+        own = _log_softmax(w.group @ r.T + w.group_bias[:, None], group)
+        ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
+        for g, (x, y) in enumerate(zip([0, *ends[:-1]], ends)):
             if x < y:
                 part = slice(g * SIZE, (g + 1) * SIZE)
-                own[x:y] += _log_softmax(r[x:y] @ w.output[part].T + w.bias[part], classes[order[x:y]] - g * SIZE)
+                own[x:y] += _log_softmax(w.output[part] @ r[x:y].T + w.bias[part, None], inner[x:y])
         out[a + order] = own
     return out / np.log(10)
 
