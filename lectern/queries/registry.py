@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.session import table
+from lectern.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,10 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
+    def all_cores(self, name: str) -> DataFrame:
+        """A table for work that is heavy in processor time."""
+        return spread(table(self.spark, self.sf_dir, name))
+
 
 def query(name: str, sql: str | None = None):
     """Registers a function of `Tables` as a query, with its SQL."""
