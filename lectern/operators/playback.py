@@ -50,3 +50,10 @@ def concat_list(df: DataFrame, book: str, order: list[str], path: str, duration:
     line = F.concat(F.lit("file '"), F.replace(F.col(path), F.lit("'"), F.lit("'\\''")), F.lit("'\n"))
     rows = F.array_sort(F.collect_list(F.struct(*order, line.alias("_line"))))
     return df.groupBy(book).agg(rows.alias("_rows"), F.sum(duration).cast("long").alias("duration")).select(book, F.array_join(F.transform("_rows", lambda r: r["_line"]), "").alias("list"), "duration")
+
+
+def book_details(chapters: DataFrame, book: str, order: str, fields: list[str], spans: str) -> DataFrame:
+    """`chapters` (in order, with `fields` and chunk_count) and chunk_count of each book; a chapter has as many chunks as spans."""
+    listed = F.array_sort(F.collect_list(F.struct(order, *fields, F.coalesce(F.size(spans), F.lit(0)).alias("chunk_count"))))
+    out = chapters.groupBy(book).agg(listed.alias("chapters"))
+    return out.withColumn("chunk_count", F.aggregate("chapters", F.lit(0).cast("long"), lambda n, c: n + c["chunk_count"]))

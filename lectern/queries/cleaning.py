@@ -34,7 +34,7 @@ def sql_clamp(x):
 )
 def _(t):
     raw = F.concat(F.lit("  "), F.col("text"), F.lit(" it’s  odd \r\n\t"))
-    return t.documents.withColumn("t", text.clean_file_text(raw)).select("doc_id", F.length("t").alias("chars"), digest(F.col("t")))
+    return t.all_cores("documents").withColumn("t", text.clean_file_text(raw)).select("doc_id", F.length("t").alias("chars"), digest(F.col("t")))
 
 
 DIRTY = "chr(8220) || replace(text, '.', '.' || chr(8221)) || chr(8230) || chr(8232) || 'a' || chr(8203) || ' . . .  b' || chr(8239) || chr(173) || repeat(chr(10), (doc_id % 7)::INT) || 'end' || chr(8233)"
@@ -48,7 +48,7 @@ DIRTY = "chr(8220) || replace(text, '.', '.' || chr(8221)) || chr(8230) || chr(8
 )
 def _(t):
     raw = F.concat(F.lit("“"), F.replace("text", F.lit("."), F.lit(".”")), F.lit("… a​ . . .  b ­"), F.expr("repeat('\n', int(doc_id % 7))"), F.lit("end "))
-    return t.documents.withColumn("t", text.extracted(raw)).select("doc_id", F.length("t").alias("chars"), digest(F.col("t")))
+    return t.all_cores("documents").withColumn("t", text.extracted(raw)).select("doc_id", F.length("t").alias("chars"), digest(F.col("t")))
 
 
 RAW2 = "'[T]he ' || replace(text, ' de ', ' de-' || chr(10)) || repeat(chr(10), (2 + doc_id % 5)::INT) || '- one' || chr(10) || '  - two. . . ' || chr(10) || chr(10) || 'wrapped ' || chr(10) || ' line' || CASE WHEN doc_id % 2 = 0 THEN repeat(' more words here', 9) ELSE '' END || chr(10) || 'x'"
@@ -67,7 +67,7 @@ SELECT doc_id, length(t)::INT AS chars, md5(t) AS digest FROM g""",
 )
 def _(t):
     raw = F.concat(F.lit("[T]he "), F.replace("text", F.lit(" de "), F.lit(" de-\n")), F.expr("repeat('\n', int(2 + doc_id % 5))"), F.lit("- one\n  - two. . . \n\nwrapped \n line"), F.when(F.expr("doc_id % 2 = 0"), F.lit(" more words here" * 9)).otherwise(""), F.lit("\nx"))
-    return t.documents.withColumn("t", text.cleaned(raw)).select("doc_id", F.length("t").alias("chars"), digest(F.col("t")))
+    return t.all_cores("documents").withColumn("t", text.cleaned(raw)).select("doc_id", F.length("t").alias("chars"), digest(F.col("t")))
 
 
 @query("t3_break_clamp", f"SELECT doc_id, length(t)::INT AS chars, md5(t) AS digest FROM (SELECT doc_id, {sql_clamp('replace(text, chr(10), repeat(chr(10), (1 + doc_id % 8)::INT))')} AS t FROM documents)")
@@ -181,12 +181,7 @@ def _(t):
     return t.part.select("p_partkey", text.title_case_word(w).alias("titled"))
 
 
-@query("t13_slugs", "SELECT doc_id, CASE WHEN s = '' THEN 'chapter' ELSE s END AS slug FROM (SELECT doc_id, substr(trim(regexp_replace(lower(regexp_replace(strip_accents(substr(text, 1, 90)), '[^\\x00-\\x7f]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) AS s FROM documents)")
-def _(t):
-    return t.documents.select("doc_id", text.slug(F.substring("text", 1, 90)).alias("slug"))
-
-
-@query("t13_whole_slugs", "SELECT doc_id, CASE WHEN s = '' THEN 'chapter' ELSE s END AS slug FROM (SELECT doc_id, substr(trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7f]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) AS s FROM documents)")
+@query("t13_slugs", "SELECT doc_id, CASE WHEN s = '' THEN 'chapter' ELSE s END AS slug FROM (SELECT doc_id, substr(trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7f]', '', 'g')), '[^a-z0-9]+', '-', 'g'), '-'), 1, 60) AS s FROM documents)")
 def _(t):
     return t.documents.select("doc_id", text.slug(F.col("text")).alias("slug"))
 
@@ -250,12 +245,12 @@ def _(t):
     SELECT source, k, word AS best, n FROM (SELECT *, row_number() OVER (PARTITION BY source, k ORDER BY n DESC, CASE WHEN regexp_matches(word, '^[A-Z].*[a-z]') THEN 3 WHEN lower(word) = word THEN 2 ELSE 1 END DESC, word) AS r FROM v) WHERE r = 1""",
 )
 def _(t):
-    return rules.case_map(t.documents, "source", "text").select("source", F.col("key").alias("k"), "best", "n")
+    return rules.case_map(t.all_cores("documents"), "source", "text").select("source", F.col("key").alias("k"), "best", "n")
 
 
 @query("h1_html_text")
 def _(t):
-    return t.pages.select("page_id", text.extracted(html.html_text(F.col("html"))).alias("text"))
+    return t.all_cores("pages").select("page_id", text.extracted(html.html_text(F.col("html"))).alias("text"))
 
 
 @query("h2_footnote_index")
@@ -265,4 +260,4 @@ def _(t):
 
 @query("t6_t7_case_repair")
 def _(t):
-    return t.documents.select("doc_id", rules.case_repaired(F.when(F.expr("doc_id % 3 = 0"), F.upper("text")).when(F.expr("doc_id % 3 = 1"), F.concat(F.upper(F.substring("text", 1, 40)), F.expr("substring(text, 41)"))).otherwise(F.col("text"))).alias("text"))
+    return t.all_cores("documents").select("doc_id", rules.case_repaired(F.when(F.expr("doc_id % 3 = 0"), F.upper("text")).when(F.expr("doc_id % 3 = 1"), F.concat(F.upper(F.substring("text", 1, 40)), F.expr("substring(text, 41)"))).otherwise(F.col("text"))).alias("text"))

@@ -61,13 +61,7 @@ def _(t):
     return found.select(known.alias("voice"), F.concat(F.lit("voices/"), "n_regionkey", F.lit(".wav")).alias("prompt"))
 
 
-@query("j9_chapter_overrides", "SELECT o_orderkey, list_sort(list(p_partkey)) AS overrides FROM orders JOIN (SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE p_partkey END AS chapter FROM part WHERE p_partkey % 50 = 0 OR p_partkey % 3 = 0) ON chapter IS NULL OR chapter = o_orderkey WHERE o_orderkey % 10 = 0 GROUP BY o_orderkey")
-def _(t):
-    rules = t.part.where("p_partkey % 50 = 0 OR p_partkey % 3 = 0").select("p_partkey", F.when(F.col("p_partkey") % 50 != 0, F.col("p_partkey")).alias("chapter"))
-    return overrides.by_chapter(t.orders.where("o_orderkey % 10 = 0").select("o_orderkey"), rules, "o_orderkey", "chapter", "p_partkey", "overrides")
-
-
-@query("j9_all_chapter_overrides", "SELECT o_orderkey, list_sort(list(p_partkey)) AS overrides FROM orders JOIN (SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE p_partkey END AS chapter FROM part WHERE p_partkey % 50 = 0 OR p_partkey % 3 = 0) ON chapter IS NULL OR chapter = o_orderkey GROUP BY o_orderkey")
+@query("j9_chapter_overrides", "SELECT o_orderkey, list_sort(list(p_partkey)) AS overrides FROM orders JOIN (SELECT p_partkey, CASE WHEN p_partkey % 50 = 0 THEN NULL ELSE p_partkey END AS chapter FROM part WHERE p_partkey % 50 = 0 OR p_partkey % 3 = 0) ON chapter IS NULL OR chapter = o_orderkey GROUP BY o_orderkey")
 def _(t):
     rules = t.part.where("p_partkey % 50 = 0 OR p_partkey % 3 = 0").select("p_partkey", F.when(F.col("p_partkey") % 50 != 0, F.col("p_partkey")).alias("chapter"))
     return overrides.by_chapter(t.orders.select("o_orderkey"), rules, "o_orderkey", "chapter", "p_partkey", "overrides")
@@ -106,12 +100,6 @@ def _(t):
     return merged.select("k", "reading", F.col("position._side").alias("side"), F.col("position.ord").alias("ord"))
 
 
-@query("u2_u3_rule_sets", "SELECT p_type AS rule FROM part WHERE p_size > 25 EXCEPT SELECT p_type FROM part WHERE p_size < 5")
-def _(t):
-    defaults = t.part.where("p_size < 5").select(F.col("p_type").alias("rule"))
-    return t.part.where("p_size > 25").select(F.col("p_type").alias("rule")).distinct().join(defaults.distinct(), "rule", "left_anti")
-
-
 @query("o1_library_sort", "SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN k = '' THEN 'x' ELSE k END, p_partkey)::INT AS place FROM (SELECT p_partkey, regexp_replace(lower(trim(CASE WHEN p_partkey % 10 = 0 THEN ' ' WHEN p_partkey % 3 = 0 THEN 'The ' || p_name WHEN p_partkey % 3 = 1 THEN 'An ' || p_name ELSE p_name END)), '^(the|an|a) ', '') AS k FROM part)")
 def _(t):
     from pyspark.sql import Window
@@ -148,20 +136,6 @@ def _(t):
     return library.upsert(now, edits, ["k"], ["gender"])
 
 
-@query("x11_preview_memo", "SELECT a.event_id, b.first IS NOT NULL AND b.first < a.event_id AS reused FROM events a JOIN (SELECT user_id, event_type, round(value) AS v, min(event_id) AS first FROM events GROUP BY ALL) b ON b.user_id = a.user_id AND b.event_type = a.event_type AND b.v = round(a.value)")
-def _(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id", "event_type", F.round("value"))
-    return t.events.select("event_id", (F.min("event_id").over(w) < F.col("event_id")).alias("reused"))
-
-
-@query("s3_suffix_dispatch", "SELECT page_id, CASE WHEN regexp_matches(lower(u), '[.]epub$') THEN 'epub' WHEN regexp_matches(lower(u), '[.]txt$') THEN 'txt' ELSE 'unsupported' END AS kind FROM (SELECT page_id, url || ['.epub', '.TXT', '.pdf', ''][1 + page_id % 4] AS u FROM pages)")
-def _(t):
-    u = F.lower(F.concat("url", F.expr("element_at(array('.epub', '.TXT', '.pdf', ''), int(1 + page_id % 4))")))
-    return t.pages.select("page_id", F.when(F.endswith(u, F.lit(".epub")), F.lit("epub")).when(F.endswith(u, F.lit(".txt")), F.lit("txt")).otherwise("unsupported").alias("kind"))
-
-
 @query("s8_jsonl_lines", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id % 10 END AS k FROM events WHERE event_id % 3 <> 1 AND event_id % 7 <> 0")
 def _(t):
     line = F.when(F.col("event_id") % 7 == 0, F.lit("{broken")).when(F.col("event_id") % 3 == 1, F.lit("  ")).when(F.col("event_id") % 3 == 0, F.format_string('{"id": %d, "k": %d}', "event_id", F.col("event_id") % 10)).otherwise(F.format_string('{"id": %d, "other": []}', "event_id"))

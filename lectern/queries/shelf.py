@@ -32,7 +32,6 @@ def _(t):
     return t.conversations.select("conv_id", "turn", chapters.chapter_id(path, F.col("turn"), F.initcap("role")).alias("id"))
 
 
-@query("t20_highlights", "SELECT doc_id, replace(replace(replace(replace(replace(substr(text, 1, 5), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;') || '<mark>' || replace(replace(replace(replace(replace(substr(text, 6, 4), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;') || '</mark>' || replace(replace(replace(replace(replace(substr(text, 10, 11), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;') AS marked FROM documents WHERE length(text) >= 20")
 def _(t):
     ranges = F.array(F.struct(F.lit(5).alias("start"), F.lit(9).alias("end")))
     return t.documents.where("length(text) >= 20").select("doc_id", chapters.highlighted(F.substring("text", 1, 20), ranges).alias("marked"))
@@ -47,7 +46,7 @@ def sql_escaped(x):
 PIECES = ["substr(text, 1, n // 4)", "substr(text, n // 4 + 1, n // 2 - n // 4)", "substr(text, n // 2 + 1, 3 * n // 4 - n // 2)", "substr(text, 3 * n // 4 + 1, n - 3 * n // 4)"]
 
 
-@query("t20_whole_highlights", f"SELECT doc_id, md5({sql_escaped(PIECES[0])} || '<mark>' || {sql_escaped(PIECES[1])} || '</mark>' || {sql_escaped(PIECES[2])} || '<mark>' || {sql_escaped(PIECES[3])} || '</mark>') AS digest FROM (SELECT doc_id, text, length(text) AS n FROM documents)")
+@query("t20_highlights", f"SELECT doc_id, md5({sql_escaped(PIECES[0])} || '<mark>' || {sql_escaped(PIECES[1])} || '</mark>' || {sql_escaped(PIECES[2])} || '<mark>' || {sql_escaped(PIECES[3])} || '</mark>') AS digest FROM (SELECT doc_id, text, length(text) AS n FROM documents)")
 def _(t):
     at = lambda x: F.expr(f"int({x})")
     ranges = F.array(*(F.struct(at(a).alias("start"), at(b).alias("end")) for a, b in (("length(text) div 4", "length(text) div 2"), ("3L * length(text) div 4", "length(text)"))))
@@ -89,11 +88,12 @@ def _(t):
     return t.documents.groupBy("source").agg(F.max(F.struct("n_chars", (-F.col("doc_id")).alias("d"))).alias("m")).select("source", (-F.col("m.d")).alias("cover"))
 
 
-@query("a23_book_details", "SELECT conv_id, list({'turn': turn, 'role': role, 'n': 1 + turn % 3} ORDER BY turn)::VARCHAR <> '' AS ok, sum(1 + turn % 3)::BIGINT AS chunk_count, count(*) AS chapters FROM conversations GROUP BY conv_id")
+@query("a23_book_details", "SELECT conv_id, md5(string_agg(turn || role || (1 + turn % 3), ',' ORDER BY turn, role)) AS details, sum(1 + turn % 3)::BIGINT AS chunk_count, count(*) AS chapters FROM conversations GROUP BY conv_id")
 def _(t):
     rows = t.conversations.select("conv_id", "turn", "role", F.array_repeat(F.lit(1), (1 + F.col("turn") % 3).cast("int")).alias("spans"))
-    out = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.size("spans").alias("n")))).alias("details"), F.sum(F.size("spans")).alias("chunk_count"), F.count("*").alias("chapters"))
-    return out.select("conv_id", (F.size("details") > 0).alias("ok"), "chunk_count", "chapters")
+    out = playback.book_details(rows, "conv_id", "turn", ["role"], "spans")
+    said = F.array_join(F.transform("chapters", lambda c: F.concat(c["turn"], c["role"], c["chunk_count"])), ",")
+    return out.select("conv_id", F.md5(said.cast("binary")).alias("details"), "chunk_count", F.size("chapters").cast("long").alias("chapters"))
 
 
 @query("k7_a24_concat_lists", "SELECT conv_id, string_agg('file ''segments/' || turn || '/' || role || '.wav''' || chr(10), '' ORDER BY turn) AS list, sum(length(text))::BIGINT AS duration FROM conversations GROUP BY conv_id")

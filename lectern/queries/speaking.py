@@ -99,19 +99,13 @@ def _(t):
 
 @query("v_verbalized_documents")
 def _(t):
-    return t.documents.select("doc_id", speech.spoken(F.col("text")).alias("said"))
+    return t.all_cores("documents").select("doc_id", speech.spoken(F.col("text")).alias("said"))
 
 
-@query("v4_reading_overrides", "SELECT doc_id, md5(replace(regexp_replace(regexp_replace(text, '\\b[Tt][Hh][Ee]\\b', 'ze', 'g'), 'tion', 'shun', 'g'), 'que', 'k')) AS digest FROM documents WHERE lang = 'en'")
+@query("v4_reading_overrides", "SELECT doc_id, md5(replace(regexp_replace(regexp_replace(text, '\\b[Tt][Hh][Ee]\\b', 'ze', 'g'), 'tion', 'shun', 'g'), 'que', 'k')) AS digest FROM documents")
 def _(t):
     rules = [{"base": "the", "reading": "ze"}, {"pattern": "tion", "reading": "shun", "case_sensitive": True}, {"pattern": "que", "reading": "k", "case_sensitive": True, "mode": "substring"}, {"pattern": "(", "reading": "broken"}]
-    return t.documents.where("lang = 'en'").select("doc_id", F.md5(speech.spoken(F.col("text"), speech.apply_overrides, entries=rules).cast("binary")).alias("digest"))
-
-
-@query("v4_all_reading_overrides", "SELECT doc_id, md5(replace(regexp_replace(regexp_replace(text, '\\b[Tt][Hh][Ee]\\b', 'ze', 'g'), 'tion', 'shun', 'g'), 'que', 'k')) AS digest FROM documents")
-def _(t):
-    rules = [{"base": "the", "reading": "ze"}, {"pattern": "tion", "reading": "shun", "case_sensitive": True}, {"pattern": "que", "reading": "k", "case_sensitive": True, "mode": "substring"}, {"pattern": "(", "reading": "broken"}]
-    return t.documents.select("doc_id", F.md5(speech.spoken(F.col("text"), speech.apply_overrides, entries=rules).cast("binary")).alias("digest"))
+    return t.all_cores("documents").select("doc_id", F.md5(speech.spoken(F.col("text"), speech.apply_overrides, entries=rules).cast("binary")).alias("digest"))
 
 
 PARA = "replace(text, chr(10), chr(10) || ' ' || chr(10))"
@@ -120,26 +114,18 @@ PARA = "replace(text, chr(10), chr(10) || ' ' || chr(10))"
 @query("c1_c2_paragraphs", f"SELECT doc_id, i::INT AS pos, p AS paragraph FROM (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, list_filter(list_transform(string_split_regex({PARA}, '\\n\\s*\\n+'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents))")
 def _(t):
     raw = F.replace("text", F.lit("\n"), F.lit("\n \n"))
-    rows = t.documents.select("doc_id", raw.alias("t")).select("doc_id", "t", F.posexplode(segment.paragraph_spans(F.col("t"))).alias("pos", "s"))
+    rows = t.all_cores("documents").select("doc_id", raw.alias("t")).select("doc_id", "t", F.posexplode(segment.paragraph_spans(F.col("t"))).alias("pos", "s"))
     return rows.select("doc_id", "pos", F.expr("substring(t, s.start + 1, s.end - s.start)").alias("paragraph"))
 
 
-@query("c3_sentences", "SELECT doc_id, count(*) AS n, sum(length(s))::BIGINT AS chars FROM (SELECT doc_id, regexp_replace(unnest(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))), '^\\s+|\\s+$', '', 'g') AS s FROM documents) WHERE s <> '' GROUP BY doc_id")
-def _(t):
-    # boundaries alone, without the rules for abbreviations: a native split
-    each = F.explode(F.split("text", "(?<=[.!?])\\s+", -1)).alias("s")
-    rows = t.documents.select("doc_id", each).select("doc_id", F.regexp_replace("s", "^\\s+|\\s+$", "").alias("s"))
-    return rows.where("s <> ''").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars"))
-
-
 @query("c6_c7_w1_chunks")
 def _(t):
-    return segment.chunks(t.documents.select("doc_id", "text"), "text", 400)
+    return segment.chunks(t.all_cores("documents").select("doc_id", "text"), "text", 400)
 
 
 @query("c4_c5_sentences_with_rules")
 def _(t):
-    rows = t.documents.select("doc_id", "text", F.explode(segment.sentence_spans(F.col("text"))).alias("s"))
+    rows = t.all_cores("documents").select("doc_id", "text", F.explode(segment.sentence_spans(F.col("text"))).alias("s"))
     return rows.select("doc_id", F.expr("substring(text, s.start + 1, s.end - s.start)").alias("sentence"))
 
 
