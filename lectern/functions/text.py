@@ -53,9 +53,19 @@ def clean_file_text(text: Column) -> Column:
     return F.concat(strip(_sub(line_ends(text), "[ \\t]{2,}", " ")), F.lit("\n"))
 
 
-def keeps_lines(lines: Column) -> Column:
+def let(value: Column, body) -> Column:
+    """`body(value)` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def filled(lines: Column) -> Column:
+    return F.filter(F.transform(lines, strip), lambda x: x != "")
+
+
+def keeps_lines(lines: Column, full: Column | None = None) -> Column:
     """Whether a block's lines stay apart: one begins with a dash or bullet, or three or more are short on average."""
-    full = F.filter(F.transform(lines, strip), lambda x: x != "")
+    if full is None:
+        return let(filled(lines), lambda x: keeps_lines(lines, x))
     total = F.aggregate(full, F.lit(0), lambda n, x: n + F.length(x))
     listed = F.exists(lines, lambda x: F.regexp_like(x, F.lit("^\\s*[—–•*-]")))
     return (F.size(lines) > 1) & (listed | ((F.size(full) >= 3) & (total < F.size(full) * 60)))
@@ -67,16 +77,21 @@ def cleaned(text: Column, unwrap: bool = True) -> Column:
     text = _sub(text, '(^|[\\s“("])\\[([A-Za-z])\\](?=[a-z])', "$1$2")
     text = _sub(text, "-\\n(?=\\w)", "-")
     if unwrap:
-        breaks = F.regexp_extract_all(text, F.lit("\\n{2,}"), 0)
-        widths = F.transform(breaks, lambda b: F.when(F.length(b) >= 5, F.lit("\n" * 5)).when(F.length(b) >= 3, F.lit("\n" * 3)).otherwise(F.lit("\n\n")))
+        wide = lambda b: F.when(F.length(b) >= 5, F.lit("\n" * 5)).when(F.length(b) >= 3, F.lit("\n" * 3)).otherwise(F.lit("\n\n"))
+
+        def joined(lines: Column, full: Column) -> Column:
+            return strip(_sub(F.when(keeps_lines(lines, full), F.array_join(full, "\n")).otherwise(F.array_join(full, " ")), "[ \\t]{2,}", " "))
 
         def block(x: Column) -> Column:
-            lines = F.split(x, "\n", -1)
-            full = F.filter(F.transform(lines, strip), lambda y: y != "")
-            return strip(_sub(F.when(keeps_lines(lines), F.array_join(full, "\n")).otherwise(F.array_join(full, " ")), "[ \\t]{2,}", " "))
+            # most blocks are one line, which needs no list
+            one = strip(_sub(x, "[ \\t]{2,}", " "))
+            return F.when(~F.contains(x, F.lit("\n")), one).otherwise(let(F.split(x, "\n", -1), lambda lines: let(filled(lines), lambda full: joined(lines, full))))
+
+        def paragraphs(t: Column) -> Column:
+            widths = F.concat(F.transform(F.regexp_extract_all(t, F.lit("\\n{2,}"), 0), wide), F.array(F.lit("")))
+            return F.array_join(F.zip_with(F.transform(F.split(t, "\\n{2,}", -1), block), widths, lambda b, w: F.concat(b, w)), "")
 
-        blocks = F.transform(F.split(text, "\\n{2,}", -1), block)
-        text = F.array_join(F.transform(F.arrays_zip(blocks.alias("b"), F.concat(widths, F.array(F.lit(""))).alias("w")), lambda z: F.concat(z["b"], z["w"])), "")
+        text = let(text, paragraphs)
     else:
         text = _sub(text, "[ \\t]{2,}", " ")
     return strip(clamp_breaks(_sub(text, "\\.[ \\t]*\\.[ \\t]*\\.", "...")))

@@ -91,6 +91,7 @@ def balanced_parts(df: DataFrame, book: str, order: str, duration: str, parts: i
     books = df.groupBy(book).agg(F.array_sort(F.collect_list(item)).alias("_all"), F.sum(F.coalesce(F.col(duration), F.lit(0)).cast("double")).alias("_total"))
     many = F.lit(parts)
     zero = F.struct(F.lit(1).alias("part"), F.lit(0.0).alias("own"), F.col("_total").alias("left"), F.lit(0).alias("seen"), F.lit(0).alias("count"), F.array().cast("array<int>").alias("out"))
+    # `out` has the places that parts begin at, so it never has more than `parts` entries
 
     def step(a: Column, x: Column) -> Column:
         parts_left = many - a["part"] + 1
@@ -100,11 +101,11 @@ def balanced_parts(df: DataFrame, book: str, order: str, duration: str, parts: i
         part = a["part"] + close.cast("int")
         return F.struct(
             part.alias("part"), (F.when(close, F.lit(0.0)).otherwise(a["own"]) + x["d"]).alias("own"), F.when(close, a["left"] - a["own"]).otherwise(a["left"]).alias("left"),
-            (a["seen"] + 1).alias("seen"), (F.when(close, F.lit(0)).otherwise(a["count"]) + 1).alias("count"), F.concat(a["out"], F.array(part)).alias("out"),
+            (a["seen"] + 1).alias("seen"), (F.when(close, F.lit(0)).otherwise(a["count"]) + 1).alias("count"), F.when(close, F.concat(a["out"], F.array(a["seen"]))).otherwise(a["out"]).alias("out"),
         )
 
-    placed = books.withColumn("_out", F.aggregate("_all", zero, step, lambda a: a["out"]))
-    return placed.select(book, F.explode(F.arrays_zip(F.col("_all").alias("x"), F.col("_out").alias("p"))).alias("_z")).select(book, F.col("_z.x.o").alias(order), F.col("_z.p").alias("part"))
+    placed = books.withColumn("_out", F.aggregate("_all", zero, step, lambda a: a["out"])).select(book, "_out", F.posexplode("_all").alias("_place", "_x"))
+    return placed.select(book, F.col("_x.o").alias(order), (1 + F.size(F.filter("_out", lambda s: s <= F.col("_place")))).alias("part"))
 
 
 def list_numbers(df: DataFrame, partition: list[str], order: list[str], value: str, start: str) -> DataFrame:

@@ -77,10 +77,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, least: int = 8) -> DataFrame:
-    """A scanned table, its rows dealt out to all cores if it lies in so few splits (at most `least`) that most would idle.
-
-    A split is 128 MB at most, so only small tables are ever shuffled for it. For plain scans: the plan is not run."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits <= least and splits < cores else df
+def spread(df: DataFrame, most: int = 32 << 20) -> DataFrame:
+    """A scanned table, its rows dealt out to all cores if its files have at most `most` bytes: they may be one row group,
+    which is one task however many cores there are. Larger tables stay as they are. For plain scans."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) <= most else df
