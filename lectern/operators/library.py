@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import written
+
 
 def lookup_first(df: DataFrame, dim: DataFrame, keys: list[tuple[str, str]], value: str, default: Column | None = None) -> DataFrame:
     """`value` from the first of several lookups that finds one: pairs of a column of `df` and a unique one of `dim`."""
@@ -59,3 +61,14 @@ def absent_texts(items: DataFrame, books: DataFrame, book: str, snippet: str, te
     """The items whose snippet isn't in their book's text; books are joined on their key, so there is no cross join."""
     joined = items.join(books.select(book, F.col(text).alias("_book_text")), book, "left")
     return joined.where(~F.coalesce(F.contains(F.col("_book_text"), F.col(snippet)), F.lit(False))).drop("_book_text")
+
+
+def placed(df: DataFrame, order: list[str], place: str = "place") -> DataFrame:
+    """`df` with the place (from 1) of each row in the whole order, by ranges: no task has more than a range to sort.
+
+    The order must be total, or equal rows that fall into one range are numbered in any order."""
+    rows = written(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    ranges = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # one row a range
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return rows.withColumn("_own", own).join(ranges, "_range").withColumn(place, F.col("_own") + F.col("_before")).drop("_own", "_before", "_range")

@@ -102,11 +102,9 @@ def _(t):
 
 @query("o1_library_sort", "SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN k = '' THEN 'x' ELSE k END, p_partkey)::INT AS place FROM (SELECT p_partkey, regexp_replace(lower(trim(CASE WHEN p_partkey % 10 = 0 THEN ' ' WHEN p_partkey % 3 = 0 THEN 'The ' || p_name WHEN p_partkey % 3 = 1 THEN 'An ' || p_name ELSE p_name END)), '^(the|an|a) ', '') AS k FROM part)")
 def _(t):
-    from pyspark.sql import Window
-
     title = F.when(F.col("p_partkey") % 10 == 0, F.lit(" ")).when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("The "), "p_name")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("An "), "p_name")).otherwise(F.col("p_name"))
-    key = text.sort_title(title, F.lit("X"))
-    return t.part.select("p_partkey", F.row_number().over(Window.orderBy(key, "p_partkey")).alias("place"))  # a library's few titles
+    rows = t.part.select("p_partkey", text.sort_title(title, F.lit("X")).alias("key"))
+    return library.placed(rows, ["key", "p_partkey"]).select("p_partkey", F.col("place").cast("int").alias("place"))
 
 
 @query("o2_override_order", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_size % 2 = 0 THEN 0 ELSE 1 END, CASE WHEN p_size % 2 = 0 THEN -length(p_name) ELSE 0 END, p_partkey)::INT AS place FROM part")
@@ -197,7 +195,7 @@ def _(t):
     return t.pages.select("page_id", assembly.cover_suffix(media, F.when(F.col("page_id") % 4 == 2, F.lit("a/b.GIF")).otherwise("cover")).alias("ext"))
 
 
-@query("st_boundary_stream")
+@query("st_boundary_stream", "SELECT event_type, count(*) AS n, round(avg(value * 12 - 900), 6) AS mean_delta_ms FROM events WHERE event_type IN ('click', 'view') AND value * 12 - 900 BETWEEN -5000 AND 5000 GROUP BY event_type")
 def _(t):
     from lectern.streaming import boundary
 
