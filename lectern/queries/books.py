@@ -1,14 +1,15 @@
 """Books end to end: rules, cleaning, readers, files and edits."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from lectern.functions import segment
-from lectern.operators import books
+from lectern.operators import books, chapters
 from lectern.queries.cleaning import WS, digest, sql_clamp, sql_lines, sql_quotes
 from lectern.queries.registry import query
 from lectern.session import shared_path
 from lectern.sinks import files as sinks
-from lectern.sources import files, jsonl, rules
+from lectern.sources import epub, files, jsonl, rules
 
 
 @query(
@@ -45,8 +46,8 @@ def conversation_books(t):
     own = F.when(F.col("conv_id") % 2 == 1, F.lit(OWN))
     source = F.when(F.col("conv_id") % 4 == 0, F.lit("a.TXT")).otherwise("a.epub")
     shelf = t.conversations.groupBy("conv_id").agg(F.max_by("role", "turn").alias("r")).select(book, F.concat(F.lit("Book "), "conv_id").alias("title"), F.array(F.lit(" Ann "), F.lit(""), "r").alias("authors"), source.alias("source"), own.alias("rules"))
-    chapters = t.conversations.select(book, F.col("turn").alias("index"), F.expr(TITLES.replace("[", "element_at(array(", 1).replace("]", "), int(1 + turn % 8))")).alias("title"), F.format_string("raw/chapters/%04d.txt", "turn").alias("path"), F.expr(RAW.replace("chr(10)", "'\n'")).alias("text"))
-    return rules.effective(shelf), chapters
+    turns = t.conversations.select(book, F.col("turn").alias("index"), F.expr(TITLES.replace("[", "element_at(array(", 1).replace("]", "), int(1 + turn % 8))")).alias("title"), F.format_string("raw/chapters/%04d.txt", "turn").alias("path"), F.expr(RAW.replace("chr(10)", "'\n'")).alias("text"))
+    return rules.effective(shelf), turns
 
 
 def sql_plain(x):
@@ -71,8 +72,8 @@ def _(t):
 
 @query("a5_report_stats", f"WITH {REPORT} SELECT book, count(*) AS total_chapters, count_if(dropped)::BIGINT AS dropped_chapters, book % 4 <> 0 AS added_title_chapter, coalesce(sum(removals), 0)::BIGINT AS removals, (CASE WHEN sum(removals) = 0 THEN 0 ELSE 2 + (sum(the) > 0)::INT END)::INT AS rules FROM report GROUP BY book")
 def _(t):
-    shelf, chapters = conversation_books(t)
-    stats = books.report_stats(shelf, books.sanitized(shelf, chapters))
+    shelf, raw = conversation_books(t)
+    stats = books.report_stats(shelf, books.sanitized(shelf, raw))
     return stats.select("book", "total_chapters", "dropped_chapters", "added_title_chapter", F.aggregate(F.map_values("removed"), F.lit(0).cast("long"), lambda n, x: n + x).alias("removals"), F.size("removed").alias("rules"))
 
 
@@ -83,8 +84,8 @@ UNION ALL SELECT book, index, 'clean/chapters/' || lpad(index::VARCHAR, 4, '0')
 SELECT book::VARCHAR || '/' || path AS path, chars, row_number() OVER (PARTITION BY book ORDER BY source_index) AS index FROM s""",
 )
 def _(t):
-    shelf, chapters = conversation_books(t)
-    clean = sinks.in_books(books.clean_set(shelf, books.sanitized(shelf, chapters)))
+    shelf, raw = conversation_books(t)
+    clean = sinks.in_books(books.clean_set(shelf, books.sanitized(shelf, raw)))
     folder = shared_path(t.spark, "books")
     sinks.write_files(clean, folder)
     back = files.read_texts(t.spark, f"{folder}/*/clean/chapters/*.txt").withColumn("path", F.concat_ws("/", F.slice(F.split("path", "/"), -4, 4)))
@@ -93,9 +94,9 @@ def _(t):
 
 @query("k1_raw_files", "SELECT conv_id::VARCHAR || '/raw/chapters/' || lpad(turn::VARCHAR, 4, '0') || '-' || role || '.txt' AS path, md5(regexp_replace(text, '\\s+$', '') || chr(10)) AS digest FROM conversations")
 def _(t):
-    chapters = t.conversations.select(F.col("conv_id").alias("book"), F.col("turn").cast("int").alias("idx"), F.col("role").alias("title"), F.lit("").alias("href"), F.concat("text", F.lit(" \n\n")).alias("text"))
+    raw = t.conversations.select(F.col("conv_id").alias("book"), F.col("turn").cast("int").alias("idx"), F.col("role").alias("title"), F.lit("").alias("href"), F.concat("text", F.lit(" \n\n")).alias("text"))
     folder = shared_path(t.spark, "raw")
-    sinks.write_files(sinks.in_books(sinks.raw_files(chapters)), folder)
+    sinks.write_files(sinks.in_books(sinks.raw_files(raw)), folder)
     back = files.read_texts(t.spark, f"{folder}/*/raw/chapters/*.txt")
     return back.select(F.concat_ws("/", F.slice(F.split("path", "/"), -4, 4)).alias("path"), digest(F.col("value")))
 
@@ -280,3 +281,38 @@ def _(t):
     plain = F.regexp_replace(F.lower("text"), "([a-z\\x{80}-\\x{10ffff}]+)[.]", "$1xx.")
     rows = t.all_cores("documents").select("doc_id", plain.alias("t")).select("doc_id", F.explode(segment.sentence_spans(F.col("t"))).alias("s"))
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("s.end") - F.col("s.start")).cast("long").alias("chars"))
+
+
+@F.udf(BinaryType())
+def _epub(title, turns):
+    """An EPUB of files in a split series; the contents name the first and every third."""
+    import io
+    import zipfile
+
+    raw = io.BytesIO()
+    names = [f"t/b_split_{x.turn:03}.html" for x in turns]
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="p.opf"/></rootfiles></container>')
+        items = "".join(f'<item id="i{k}" href="{n}" media-type="application/xhtml+xml"/>' for k, n in enumerate(names))
+        spine = "".join(f'<itemref idref="i{k}"/>' for k in range(len(names)))
+        z.writestr("p.opf", f'<package xmlns:dc="d"><metadata><dc:title>{title}</dc:title></metadata><manifest><item id="ncx" href="toc.ncx" media-type="application/x-dtbncx+xml"/>{items}</manifest><spine>{spine}</spine></package>')
+        points = "".join(f"<navPoint><navLabel><text>Part {x.turn}</text></navLabel><content src='{n}'/></navPoint>" for k, (x, n) in enumerate(zip(turns, names)) if not k or x.turn % 3 == 0)
+        z.writestr("toc.ncx", f"<ncx><navMap>{points}</navMap></ncx>")
+        for x, n in zip(turns, names):
+            z.writestr(n, f"<html><head><title>no</title></head><body><p>{x.words}</p></body></html>")
+    return raw.getvalue()
+
+
+@query(
+    "s1_h4_extracted_books",
+    """WITH w AS (SELECT conv_id, turn, trim(regexp_replace(max(text), '[^A-Za-z]+', ' ', 'g')) AS words FROM conversations GROUP BY conv_id, turn),
+e AS (SELECT *, sum((turn % 3 = 0 OR turn = first)::INT) OVER (PARTITION BY conv_id ORDER BY turn) AS idx FROM (SELECT *, min(turn) OVER (PARTITION BY conv_id) AS first FROM w))
+SELECT conv_id || '.epub' AS book, idx::INT AS idx, 'Part ' || min(turn) AS title, 't/b_split_' || lpad(min(turn)::VARCHAR, 3, '0') || '.html' AS href, md5(string_agg(words, chr(10) || chr(10) ORDER BY turn)) AS digest FROM e WHERE words <> '' GROUP BY conv_id, idx""",
+)
+def _(t):
+    words = t.conversations.groupBy("conv_id", "turn").agg(F.trim(F.regexp_replace(F.max("text"), "[^A-Za-z]+", " ")).alias("words"))
+    shelf = words.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "words"))).alias("turns"))
+    folder = shared_path(t.spark, "epubs")
+    sinks.write_files(shelf.select(F.concat(F.col("conv_id").cast("string"), F.lit(".epub")).alias("path"), _epub(F.concat(F.lit("Book "), "conv_id"), "turns").alias("text")), folder)
+    read = epub.read(t.spark, folder)
+    return chapters.extracted(epub.items(read), epub.spine(read), epub.toc(read)).select(F.substring_index("book_id", "/", -1).alias("book"), "idx", "title", "href", digest(F.col("text")))
