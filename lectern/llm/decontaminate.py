@@ -14,6 +14,7 @@ and segments at or above the threshold are found, with any number of blocks.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import doc_texts, rows_of, small_batches
 from lectern.llm.kernels import text_bytes, xxh64
-from lectern.session import written
+from lectern.llm.token_io import filesystem
+from lectern.session import shared_path
 
 K1, B = 1.2, 0.75
 PASSAGE, STRIDE = 64, 32
@@ -34,8 +36,10 @@ THRESHOLD = 0.4
 GRAM = 3
 #: Shares of the question's and of the answer's n-grams that make a leak; a short answer needs the question.
 QUESTION, ANSWER = 0.5, 0.5
-#: Bytes of items that are indexed and broadcast at once; more are searched in parts, one scan of the documents each.
+#: Bytes of items in one index. One is broadcast; several are files in the shared folder, which a task reads in turn
+#: for every HELD_BYTES of text, so that the documents are scanned once.
 PART_BYTES = 2 << 20
+HELD_BYTES = 32 << 20
 
 _WORD = np.zeros(256, np.uint8)
 for _b in [*range(48, 58), *range(97, 123), *range(128, 256)]:
@@ -276,25 +280,56 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, ques
     `item_ids` are the items that are verified, `candidates` all that BM25 finds. Null texts and items have no
     terms and match nothing. Rows that repeat a doc_id, or have none, are searched each for itself; equal items
     are found each. Without items, or documents, nothing is found. Items of more than PART_BYTES are indexed in
-    parts with the term statistics of all items; every passage is searched against all parts.
+    parts with the term statistics of all items; every passage is searched against all parts in one scan.
     """
     spark = docs.sparkSession
     pool = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = -(-(pool.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES) or 1
-    rows = doc_texts(docs, *(F.col(c).alias(f"_keep_{c}") for c in keep), F.array().cast(f"array<{_CANDIDATE}>").alias("candidates"))
+    rows = doc_texts(docs, *(F.col(c).alias(f"_keep_{c}") for c in keep))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    stats = _statistics(pool) if parts > 1 else None
-    for part in range(parts):
-        shared = spark.sparkContext.broadcast(_index(pool, part, parts, stats))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in rows_of(batches):
-                found = _found(shared.value, batch.column("text"), threshold, question, answer)
-                both = [old + new for old, new in zip(batch.column("candidates").to_pylist(), found)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(both, _KIND)], names=batch.schema.names)
-
-        rows = rows.mapInArrow(run, kinds)
-        if part + 1 < parts:
-            rows = written(rows, "searched")
+    folder, shared = shared_path(spark, "index"), None
+    if parts == 1:
+        shared = spark.sparkContext.broadcast(_index(pool, 0, 1, None))
+    else:
+        stats = _statistics(pool)
+        files, root = filesystem(folder)
+        files.create_dir(root, recursive=True)
+        for part in range(parts):
+            with files.open_output_stream(f"{root}/{part}", compression=None) as out:
+                out.write(pickle.dumps(_index(pool, part, parts, stats), protocol=5))
+
+    def indexes() -> Iterator[Index]:
+        if shared is not None:
+            yield shared.value
+        else:
+            files, root = filesystem(folder)
+            for part in range(parts):
+                with files.open_input_stream(f"{root}/{part}", compression=None) as f:
+                    yield pickle.loads(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = [[[] for _ in range(b.num_rows)] for b in held]
+            for ix in indexes():
+                for batch, mine in zip(held, found):
+                    for own, new in zip(mine, _found(ix, batch.column("text"), threshold, question, answer)):
+                        own += new
+            for batch, mine in zip(held, found):
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(mine, _KIND)], names=[*batch.schema.names, "candidates"])
+            held.clear()
+
+        for batch in rows_of(batches):
+            held.append(batch)
+            size += batch.column("text").nbytes
+            if parts == 1 or size >= HELD_BYTES:
+                yield from flush()
+                size = 0
+        if held:
+            yield from flush()
+
+    rows = rows.mapInArrow(run, f"{kinds}, candidates array<{_CANDIDATE}>")
     leaks = F.array_sort(F.transform(F.filter("candidates", lambda x: x["leak"]), lambda x: x["item_id"]))
     return rows.select("doc_id", *(F.col(f"_keep_{c}").alias(c) for c in keep), (F.size(leaks) > 0).alias("contaminated"), leaks.alias("item_ids"), "candidates")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm import chains, decontaminate, langid, lbl, line_rules, ordinal, packing, simhash, token_io, warc
 from lectern.llm.common import split_remainder
-from lectern.session import table
+from lectern.session import spread, table
 
 
 def tokenizer(name: str) -> str:
@@ -17,6 +17,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")), data=False))
 
@@ -28,25 +32,25 @@ def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_lbl(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = split_remainder(7) == 2
-    return lbl.score(table(spark, sf_dir, "documents"), ~held_out, held_out.alias("held_out"))
+    return lbl.score(documents(spark, sf_dir), ~held_out, held_out.alias("held_out"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), end_id=2, capacity=4096)
+    pieces = packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end_id=2, capacity=4096)
     return pieces.select("doc_id", "start", "length", F.crc32("tokens").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens")
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, held_out = table(spark, sf_dir, "documents"), split_remainder(5) == 0
+    docs, held_out = documents(spark, sf_dir), split_remainder(5) == 0
     return langid.predict(docs, langid.fit(docs, ~held_out), held_out.alias("held_out"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_rules.judge(table(spark, sf_dir, "documents"), text=False).drop("clean_text")
+    return line_rules.judge(documents(spark, sf_dir), text=False).drop("clean_text")
 
 
 #: Three grades: a point for sound text and one for a civil tone.
@@ -54,12 +58,12 @@ GRADE = "quality + 1 - toxic AS grade"
 
 
 def op8_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return ordinal.predict(docs, ordinal.fit_ordinal(docs, table(spark, sf_dir, "labels").selectExpr("doc_id", GRADE), "grade"))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_ids")
+    return decontaminate.search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_ids")
 
 
 #: The chain's categories: the labels know one kind of toxicity, of which that in junk text is the second.
@@ -67,7 +71,7 @@ TOXICITY = {"toxic": "toxic", "toxic_junk": "toxic * (1 - quality)"}
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     chain = chains.fit_chain(docs, table(spark, sf_dir, "labels"), TOXICITY)
     return chains.predict(docs, chain, list(TOXICITY)).withColumn("toxic", F.col("is_toxic"))
 
