@@ -3,8 +3,8 @@
 A file holds documents in ascending order with columns doc_id, start (ids in the file before it),
 n_tokens and ids (a list column, dictionary or delta encoded). Row groups hold a bounded number of
 tokens and every file has page indexes, so a reader gets at a document's ids or at all the lengths
-without decoding anything else. `write_tokens` returns the manifest, one row a file, from which
-`read_tokens` and `read_metadata` work. Files have attempt-unique names and only those of tasks that
+without decoding anything else: `read_documents` reads the pages of chosen ids alone, `read_metadata` no ids at
+all. `write_tokens` returns the manifest, one row a file, from which these and `read_tokens` work. Files have attempt-unique names and only those of tasks that
 ended well are in the manifest, so tasks may fail, be repeated or run twice.
 """
 
@@ -24,6 +24,8 @@ from lectern.llm.common import doc_texts, rows_of
 from lectern.llm.tokens import encoder
 from lectern.session import shared_path, written
 
+#: Rows after which a page may end, so that a chosen document costs few others.
+PAGE_ROWS = 128
 MANIFEST = "part int, path string, n_docs long, n_tokens long, first_doc long, last_doc long"
 FILE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.field("element", pa.uint32(), False)))])
 
@@ -62,9 +64,10 @@ def write_tokens(
             if writer is None:
                 files.create_dir(root, recursive=True)
                 path = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.parquet"
-                delta = {"column_encoding": {"ids.list.element": "DELTA_BINARY_PACKED", "start": "DELTA_BINARY_PACKED", "n_tokens": "DELTA_BINARY_PACKED"}, "use_dictionary": False}
+                # only the ids: Spark's reader loses its place in delta-coded longs when it skips pages
+                delta = {"column_encoding": {"ids.list.element": "DELTA_BINARY_PACKED"}, "use_dictionary": False}
                 plain = {"use_dictionary": ["ids.list.element"], "dictionary_pagesize_limit": 1 << 20}
-                writer = pq.ParquetWriter(files.open_output_stream(f"{root}/{path}"), FILE, compression="zstd", compression_level=1, write_page_index=True, data_page_size=page_bytes, **(delta if encoding == "delta" else plain))
+                writer = pq.ParquetWriter(files.open_output_stream(f"{root}/{path}"), FILE, compression="zstd", compression_level=1, write_page_index=True, data_page_size=page_bytes, write_batch_size=PAGE_ROWS, **(delta if encoding == "delta" else plain))
             lengths = np.array([len(x) // 4 for x in ids_of], np.int64)
             ends = np.cumsum(lengths)
             flat = pa.array(np.frombuffer(b"".join(ids_of), "<u4"))
@@ -94,11 +97,15 @@ def write_tokens(
     return written(ordered.mapInArrow(write, MANIFEST).withColumn("path", F.concat(F.lit(folder.rstrip("/") + "/"), "path")), "token-manifest")
 
 
-def _read(manifest: DataFrame, columns: list[str], schema: str) -> DataFrame:
-    """The columns of all files, a row group at a time; `start` counts from the first file on."""
+def _bases(manifest: DataFrame) -> DataFrame:
+    """path and base, the ids of all files before it."""
     before = Window.orderBy("part", "path").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    based = manifest.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+    return manifest.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
+
 
+def _read(manifest: DataFrame, columns: list[str], schema: str) -> DataFrame:
+    """The columns of all files, a row group at a time; `start` counts from the first file on."""
+    based = _bases(manifest)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,3 +140,27 @@ def read_tokens(manifest: DataFrame, binary: bool = False) -> DataFrame:
     """
     columns = ["doc_id", "start", "n_tokens", "ids"]
     return _read(manifest, columns, "doc_id long, start long, n_tokens long, " + ("tokens binary" if binary else "ids array<long>"))
+
+
+def _chosen(manifest: DataFrame, doc_ids: list[int], ids: bool) -> DataFrame:
+    """The rows of the files that may hold some of `doc_ids`, by Spark's Parquet reader: it skips row groups by their
+    statistics and, by the page indexes, the pages of every column that hold none of them."""
+    spark, wanted = manifest.sparkSession, sorted(set(doc_ids))
+    there = F.exists(F.array(*map(F.lit, wanted)).cast("array<long>"), lambda d: (d >= F.col("first_doc")) & (d <= F.col("last_doc")))
+    # a file begins with rows without an id if there are any, so its first_doc may be null
+    paths = [r.path for r in manifest.where(F.coalesce(there, F.col("last_doc") >= wanted[0])).select("path").collect()] if wanted else []
+    kinds = "doc_id long, start long, n_tokens long" + ", ids array<long>" * ids
+    if not paths:
+        return spark.createDataFrame([], kinds + ", file string")
+    return spark.read.schema(kinds).parquet(*paths).where(F.col("doc_id").isin(wanted)).select(*(x.split()[0] for x in kinds.split(", ")), F.col("_metadata.file_name").alias("file"))
+
+
+def read_documents(manifest: DataFrame, doc_ids: list[int], ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens and (with `ids`) ids of the documents in `doc_ids` alone; unknown ids have no row.
+
+    Files, row groups and pages that hold none of them aren't read, nor are the tokens without `ids`. The files that are
+    opened are listed on the driver: at most two an id, but for files that repeat one. Rows that share a doc_id all come.
+    """
+    base = _bases(manifest).select(F.substring_index("path", "/", -1).alias("file"), "base")
+    found = _chosen(manifest, doc_ids, ids).join(base, "file")
+    return found.withColumn("start", F.col("start") + F.col("base")).drop("file", "base")

@@ -115,3 +115,24 @@ def test_pack_of_odd_rows(odd):
         used[r.sequence_id, r.sequence_tokens] += r.length
     assert all(size == n for (_, size), n in used.items()) and len({s for s, _ in used}) == len(used)
     assert packing.pack(odd.limit(0), tokenizer(NAMES[1])).collect() == []
+
+
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_chosen_documents_are_read_alone(spark, encoding):
+    """Few pages are read for few ids: the scan hands on far fewer rows than there are, and the ids column only when asked."""
+    docs = spark.range(6000).selectExpr("id * 2 AS doc_id", "concat('word ', id, repeat(' and more', cast(id % 40 AS int))) AS text")
+    manifest = token_io.write_tokens(docs, tokenizer(NAMES[0]), 0, encoding, group_tokens=40_000, page_bytes=2048)
+    ids = [0, 801, 802, 4444, 11_998, 99_999]
+    want = {r.doc_id: r for r in token_io.read_tokens(manifest).where(F.col("doc_id").isin(ids)).collect()}
+    assert sorted(want) == [0, 802, 4444, 11_998]
+    assert {r.doc_id: r for r in token_io.read_documents(manifest, ids).collect()} == want
+    slim = token_io.read_documents(manifest, ids, ids=False)
+    assert slim.columns == ["doc_id", "start", "n_tokens"] and {r.doc_id: r.start for r in slim.collect()} == {d: r.start for d, r in want.items()}
+    assert token_io.read_documents(manifest, []).collect() == [] and token_io.read_documents(manifest, [7]).collect() == []
+    scan = token_io._chosen(manifest, ids, True)
+    assert len(scan.collect()) == 4
+    plan = scan._jdf.queryExecution().executedPlan()
+    leaf = plan.collectLeaves().apply(0)
+    read = leaf.metrics().get("numOutputRows").get().value()
+    assert read < 6000 / 4, read
+    assert "ids" not in token_io._chosen(manifest, ids, False)._jdf.queryExecution().executedPlan().collectLeaves().apply(0).toString()
