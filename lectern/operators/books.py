@@ -69,7 +69,7 @@ def clean_set(books: DataFrame, report: DataFrame) -> DataFrame:
     name = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.lit("Title"))
     first = titles.select("book", name.alias("title"), F.lit("clean/chapters/0000-title.txt").alias("path"), F.lit(0).alias("source_index"), F.lit("title").alias("kind"), F.concat("_page", F.lit("\n")).alias("text"))
     kept = report.where("NOT dropped").select("book", "title", F.concat(F.lit("clean/chapters/"), F.substring_index("raw_path", "/", -1)).alias("path"), F.col("index").cast("int").alias("source_index"), F.lit("chapter").alias("kind"), F.concat("text", F.lit("\n")).alias("text"))
-    place = F.row_number().over(Window.partitionBy("book").orderBy("source_index", "path"))
+    place = F.row_number().over(Window.partitionBy("book").orderBy(F.desc("kind"), "source_index", "path"))  # the title page first
     return first.unionByName(kept).withColumn("index", place)
 
 

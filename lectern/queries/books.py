@@ -81,7 +81,7 @@ def _(t):
     "k2_clean_files",
     f"""WITH {REPORT}, s AS (SELECT book, 0 AS source_index, 'clean/chapters/0000-title.txt' AS path, length('Book ' || book || chr(10) || chr(10) || 'by Ann, ' || r)::BIGINT + 1 AS chars FROM (SELECT conv_id AS book, arg_max(role, turn) AS r FROM conversations GROUP BY conv_id) WHERE book % 4 <> 0
 UNION ALL SELECT book, index, 'clean/chapters/' || lpad(index::VARCHAR, 4, '0') || '.txt', clean_chars + 1 FROM report WHERE NOT dropped)
-SELECT book::VARCHAR || '/' || path AS path, chars, row_number() OVER (PARTITION BY book ORDER BY source_index) AS index FROM s""",
+SELECT book::VARCHAR || '/' || path AS path, chars, row_number() OVER (PARTITION BY book ORDER BY ends_with(path, '-title.txt') DESC, source_index) AS index FROM s""",
 )
 def _(t):
     shelf, raw = conversation_books(t)
@@ -238,9 +238,9 @@ def _(t):
     return books.first_chapters(t.conversations.select("conv_id", "turn", "role"), "conv_id", "turn")
 
 
-@query("x4_edited_texts", "SELECT conv_id, turn, md5(CASE WHEN turn = 2 AND conv_id % 3 = 0 THEN upper(text) ELSE text END) AS digest, turn = 2 AND conv_id % 3 = 0 AND upper(text) <> text AS changed FROM conversations")
+@query("x4_edited_texts", "SELECT conv_id, turn, md5(CASE WHEN turn = 2 AND conv_id % 3 = 0 THEN 'new ' || text ELSE text END) AS digest, turn = 2 AND conv_id % 3 = 0 AS changed FROM conversations")
 def _(t):
-    edits = t.conversations.where("turn = 2 AND conv_id % 3 = 0").select("conv_id", "turn", F.upper("text").alias("text"))
+    edits = t.conversations.where("turn = 2 AND conv_id % 3 = 0").select("conv_id", "turn", F.concat(F.lit("new "), "text").alias("text"))
     return books.edited(t.conversations.select("conv_id", "turn", "text"), edits, ["conv_id", "turn"]).select("conv_id", "turn", digest(F.col("text")), "changed")
 
 
