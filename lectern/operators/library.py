@@ -57,12 +57,6 @@ def upsert(current: DataFrame, edits: DataFrame, keys: list[str], fields: list[s
     return joined.select(*keys, *out)
 
 
-def absent_texts(items: DataFrame, books: DataFrame, book: str, snippet: str, text: str) -> DataFrame:
-    """The items whose snippet isn't in their book's text; books are joined on their key, so there is no cross join."""
-    joined = items.join(books.select(book, F.col(text).alias("_book_text")), book, "left")
-    return joined.where(~F.coalesce(F.contains(F.col("_book_text"), F.col(snippet)), F.lit(False))).drop("_book_text")
-
-
 def placed(df: DataFrame, order: list[str], place: str = "place") -> DataFrame:
     """`df` with the place (from 1) of each row in the whole order, by ranges: no task has more than a range to sort.
 

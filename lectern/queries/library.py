@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from lectern.functions import text
-from lectern.operators import assembly, library
+from lectern.operators import assembly, library, snippets
 from lectern.queries.registry import query
 from lectern.sources import jsonl, overrides
 
@@ -39,11 +39,9 @@ def _(t):
 
 @query("j6_a1_orphans", "WITH b AS (SELECT lang AS book, string_agg(text, chr(10) ORDER BY doc_id) AS whole FROM documents GROUP BY lang) SELECT item_id, book, length(text)::BIGINT AS chars FROM (SELECT item_id, text, ['en', 'de', 'fr', 'es'][1 + item_id % 4] AS book FROM benchmark) i LEFT JOIN b USING (book) WHERE b.whole IS NULL OR NOT contains(whole, substr(text, 1, 200))")
 def _(t):
-    from lectern.operators import tracking
-
-    books = tracking.joined_text(t.documents.select(F.col("lang").alias("book"), "doc_id", F.col("text").alias("whole")), "book", ["doc_id"], "whole", F.lit("\n"))
+    texts = t.documents.select(F.col("lang").alias("book"), "doc_id", F.col("text").alias("whole"))
     items = t.benchmark.select("item_id", F.expr("element_at(array('en', 'de', 'fr', 'es'), int(1 + item_id % 4))").alias("book"), F.length("text").cast("long").alias("chars"), F.substring("text", 1, 200).alias("snippet"))
-    return library.absent_texts(items, books, "book", "snippet", "whole").select("item_id", "book", "chars")
+    return snippets.absent_texts(items, texts, "book", ["doc_id"], "snippet", "whole").select("item_id", "book", "chars")
 
 
 @query("j7_chapter_voices", "SELECT conv_id, turn, coalesce(CASE WHEN s_suppkey IS NOT NULL THEN s_name END, 'default') AS voice FROM conversations LEFT JOIN supplier ON s_suppkey = turn AND conv_id % 2 = 0")

@@ -82,3 +82,18 @@ def spread(df: DataFrame, most: int = 32 << 20) -> DataFrame:
     which is one task however many cores there are. Larger tables stay as they are. For plain scans."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) <= most else df
+
+
+#: Rows and bytes in one Arrow batch: with long texts, Spark's defaults take a Python worker far more than its work does.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`; from here on its session hands at most BATCH_ROWS rows, and about BATCH_BYTES bytes, at once to Python."""
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(f"spark.sql.execution.arrow.{name}", None)
+        size = int(now) if now and now.lstrip("-").isdigit() else 0
+        if not 0 < size <= most:
+            conf.set(f"spark.sql.execution.arrow.{name}", most)
+    return df
