@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import written
+
 
 def spine_ranges(spine: DataFrame, toc: DataFrame, book: str, position: str, start: str) -> DataFrame:
     """Each spine row with the contents entry whose range [start, next start) holds it; rows before the first are left out.
@@ -31,15 +33,27 @@ def first_suffix(df: DataFrame, rules: list[tuple[str, str]], path: str, label:
 
 
 def flattened(edges: DataFrame, node: str, parent: str) -> DataFrame:
-    """id, root and depth of all entries of nested contents, by a recursive query; entries without a parent are roots."""
-    spark = edges.sparkSession
-    edges.select(F.col(node).alias("id"), F.col(parent).alias("parent")).createOrReplaceTempView("_lectern_edges")
-    return spark.sql(
-        """WITH RECURSIVE f(id, root, depth) AS (
-        SELECT id, id, 0 FROM _lectern_edges WHERE parent IS NULL
-        UNION ALL SELECT e.id, f.root, f.depth + 1 FROM f JOIN _lectern_edges e ON e.parent = f.id)
-        SELECT id, root, depth FROM f"""
-    )
+    """id, root and depth of all entries of nested contents; entries without a parent are roots, and those that no root leads to are left out.
+
+    Each round doubles the steps up that paths have taken, so their number grows with the logarithm of the depth,
+    and rows are bounded by the table alone. Contents that a root leads around in are an error.
+    """
+    rows = edges.select(F.col(node).alias("id"), F.coalesce(parent, node).alias("up"), F.when(F.col(parent).isNull(), 0).otherwise(1).alias("depth"), F.col(parent).isNull().alias("done"))
+    last, done = written(rows.where("id IS NOT NULL"), "contents"), None
+    entries = last.count()
+    for k in range(64):
+        now = last.where("done").select("id", "up", "depth")
+        done = now if done is None else done.unionByName(now)
+        if done is not now and now.isEmpty():
+            break  # a deeper entry would have one of this depth above it
+        if k and 2 ** (k - 1) >= entries:
+            raise ValueError("contents lead around in a circle")  # a path of more steps than there are entries
+        ahead = last.where("NOT done")
+        if ahead.isEmpty():
+            break
+        above = done.withColumn("done", F.lit(True)).unionByName(ahead).select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), "done")
+        last = written(ahead.drop("done").join(above, "up").select("id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), "done"), "contents")
+    return done.select("id", F.col("up").alias("root"), "depth")
 
 
 def tag_map(values: dict[str, Column]) -> Column:

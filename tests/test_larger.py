@@ -2,7 +2,10 @@
 
 import random
 
-from lectern.operators import snippets
+import pytest
+
+from lectern.operators import assembly, snippets
+from lectern.sources import overrides
 
 
 def test_snippets_across_texts(spark):
@@ -27,3 +30,25 @@ def test_snippets_across_texts(spark):
             spark.conf.set("spark.sql.shuffle.partitions", "4")
             spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         assert sorted(r.item for r in got) == sorted(want)
+
+
+def test_contents_deep_wide_and_astray(spark):
+    edges = [(1, None), (2, None)] + [(k, k - 1) for k in range(10, 160)] + [(9, 1)] + [(1000 + k, 2) for k in range(50)] + [(200, 201), (201, 200), (300, 300), (400, 999), (401, 400)]
+    want = {(1, 1, 0), (2, 2, 0)} | {(k, 1, k - 8) for k in range(9, 160)} | {(1000 + k, 2, 1) for k in range(50)}
+    got = assembly.flattened(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    none = assembly.flattened(spark.createDataFrame([(1, 2), (2, 1)], "a long, b long"), "a", "b")
+    assert none.columns == ["id", "root", "depth"] and not none.collect()
+    with pytest.raises(ValueError):
+        assembly.flattened(spark.createDataFrame([(1, None), (1, 2), (2, 1)], "a long, b long"), "a", "b")
+    assert assembly.flattened(spark.range(1_200_000).selectExpr("id", "CASE WHEN id > 20 THEN id DIV 1000 END AS up"), "id", "up").count() == 1_200_000
+
+
+def test_global_overrides_are_sorted_once(spark):
+    chapters, rules = spark.createDataFrame([(1,), (2,), (3,)], "c long"), spark.createDataFrame([(9, None), (4, None), (7, 2), (5, 2), (6, 8)], "v long, s long")
+    made = overrides.by_chapter(chapters, rules, "c", "s", "v", "out")
+    assert {r.c: r.out for r in made.collect()} == {1: [4, 9], 2: [4, 5, 7, 9], 3: [4, 9]}
+    assert "array_sort(" not in made._jdf.queryExecution().optimizedPlan().toString() and "lambdafunction" not in made._jdf.queryExecution().optimizedPlan().toString()
+    own = overrides.by_chapter(chapters, rules.where("s IS NOT NULL"), "c", "s", "v", "out")
+    assert {r.c: r.out for r in own.collect()} == {2: [5, 7]}
+    assert not overrides.by_chapter(chapters, rules.where("false"), "c", "s", "v", "out").collect()
