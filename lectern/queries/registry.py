@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.session import spread, table
+from lectern.session import small_batches, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,8 +22,8 @@ class Tables:
         return table(self.spark, self.sf_dir, name)
 
     def all_cores(self, name: str) -> DataFrame:
-        """A table for work that is heavy in processor time."""
-        return spread(table(self.spark, self.sf_dir, name))
+        """A table for work that is heavy in processor time, which goes to Python in small batches."""
+        return small_batches(spread(table(self.spark, self.sf_dir, name)))
 
 
 def query(name: str, sql: str | None = None):
