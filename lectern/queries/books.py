@@ -96,9 +96,8 @@ def _(t):
 def _(t):
     raw = t.conversations.select(F.col("conv_id").alias("book"), F.col("turn").cast("int").alias("idx"), F.col("role").alias("title"), F.lit("").alias("href"), F.concat("text", F.lit(" \n\n")).alias("text"))
     folder = shared_path(t.spark, "raw")
-    sinks.write_files(sinks.in_books(sinks.raw_files(raw)), folder)
-    back = files.read_texts(t.spark, f"{folder}/*/raw/chapters/*.txt")
-    return back.select(F.concat_ws("/", F.slice(F.split("path", "/"), -4, 4)).alias("path"), digest(F.col("value")))
+    back = files.read_named(sinks.write_files(sinks.in_books(sinks.raw_files(raw)), folder), folder)
+    return back.select("path", digest(F.col("content")))
 
 
 @query("k1_contents", "SELECT conv_id::VARCHAR AS book, 'Book ' || conv_id AS title, list(turn ORDER BY turn) AS indexes, count(*) AS chapters FROM conversations GROUP BY conv_id")

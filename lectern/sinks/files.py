@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import text
-from lectern.session import written
+from lectern.session import small_batches, written
 
 WRITTEN = "path string, bytes long"
 
@@ -26,7 +26,7 @@ def write_files(df: DataFrame, folder: str, path: str = "path", content: str = "
     """Writes `content` (text or bytes) of each row to `folder`/`path`; the manifest: path and bytes.
 
     A file is written under a name of its own and then renamed, so readers see it whole, and a task that is
-    repeated only writes the same again. Paths must differ. If the folder has files already it is an error unless `overwrite`,
+    repeated only writes the same again. Paths must differ; if not, the folder is emptied again. If the folder has files already it is an error unless `overwrite`,
     which replaces the folder. A null content is an empty file. An empty table writes nothing.
     """
     from pyarrow import fs
@@ -36,18 +36,20 @@ def write_files(df: DataFrame, folder: str, path: str = "path", content: str = "
         if not overwrite:
             raise FileExistsError(f"{folder} has files already; overwrite to write it anew")
         files.delete_dir_contents(root)
-    twice = df.groupBy(path).count().where("count > 1").limit(1).collect()
-    if twice:
-        raise ValueError(f"two rows for {twice[0][0]}")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = filesystem(folder)
+        made = set()
         for batch in batches:
             done, sizes = [], []
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 data = data or b""
                 at = f"{root}/{name}"
-                files.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                inside = at.rsplit("/", 1)[0]
+                if inside not in made:
+                    files.create_dir(inside, recursive=True)
+                    if len(made) > 10_000:
+                        made.clear()
+                    made.add(inside)
                 beside = f"{at}.{uuid.uuid4().hex[:12]}"
                 with files.open_output_stream(beside, compression=None) as out:
                     out.write(data)
@@ -57,7 +59,12 @@ def write_files(df: DataFrame, folder: str, path: str = "path", content: str = "
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()), pa.array(sizes, pa.int64())], names=["path", "bytes"])
 
     rows = df.select(F.col(path), F.col(content).cast("binary").alias("_content"))
-    return written(rows.mapInArrow(run, WRITTEN), "files")
+    manifest = written(small_batches(rows).mapInArrow(run, WRITTEN), "files")
+    twice = manifest.groupBy("path").count().where("count > 1").limit(1).collect()  # of the manifest, so the rows are made only once
+    if twice:
+        files.delete_dir_contents(root)
+        raise ValueError(f"two rows for {twice[0][0]}")
+    return manifest
 
 
 def raw_name(index: Column, title: Column) -> Column:

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import text
+from lectern.session import small_batches
 
 
 def suffix_kind(path: Column) -> Column:
@@ -35,6 +38,29 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
+def read_named(manifest: DataFrame, folder: str, path: str = "path") -> DataFrame:
+    """path and content, the bytes, of the files in `folder` that a manifest names: tasks open them by name, so no folder is listed, and a small file isn't planned as a task's share."""
+    from lectern.sinks.files import filesystem
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = filesystem(folder)
+        for batch in batches:
+            names, said, size = [], [], 0
+            for name in batch.column(0).to_pylist():
+                with files.open_input_file(f"{root}/{name}") as source:
+                    said.append(source.readall())
+                names.append(name)
+                size += len(said[-1])
+                if size > 4 << 20:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(said, pa.binary())], names=["path", "content"])
+                    names, said, size = [], [], 0
+            if names:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(said, pa.binary())], names=["path", "content"])
+
+    rows = small_batches(manifest.select(path).repartition(3 * manifest.sparkSession.sparkContext.defaultParallelism))
+    return rows.mapInArrow(run, "path string, content binary")
+
+
 def text_chapters(files: DataFrame, path: str = "path", value: str = "value") -> DataFrame:
     """A file's clean text as its only chapter: index, id, title (the file's stem), text, path."""
     stem = F.regexp_replace(F.substring_index(path, "/", -1), "(?<=.)[.][^.]*$", "")

@@ -5,7 +5,8 @@ import random
 import pytest
 
 from lectern.operators import assembly, snippets
-from lectern.sources import overrides
+from lectern.sinks import files as sinks
+from lectern.sources import files, overrides
 
 
 def test_snippets_across_texts(spark):
@@ -52,3 +53,14 @@ def test_global_overrides_are_sorted_once(spark):
     own = overrides.by_chapter(chapters, rules.where("s IS NOT NULL"), "c", "s", "v", "out")
     assert {r.c: r.out for r in own.collect()} == {2: [5, 7]}
     assert not overrides.by_chapter(chapters, rules.where("false"), "c", "s", "v", "out").collect()
+
+
+def test_files_are_read_by_their_manifest(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{k % 7}/{k}.txt", f"é{k}" * 10) for k in range(300)] + [("none.txt", None)], "path string, text string")
+    made = sinks.write_files(rows, f"file://{tmp_path}/a")
+    (tmp_path / "a/other.txt").write_text("not in the manifest")
+    got = {r.path: bytes(r.content).decode() for r in files.read_named(made, f"file://{tmp_path}/a").collect()}
+    assert got == {r.path: r.text or "" for r in rows.collect()}
+    with pytest.raises(ValueError):
+        sinks.write_files(rows.union(rows), f"file://{tmp_path}/b")
+    assert not list((tmp_path / "b").iterdir())
