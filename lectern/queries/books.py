@@ -312,6 +312,6 @@ def _(t):
     words = t.conversations.groupBy("conv_id", "turn").agg(F.trim(F.regexp_replace(F.max("text"), "[^A-Za-z]+", " ")).alias("words"))
     shelf = words.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "words"))).alias("turns"))
     folder = shared_path(t.spark, "epubs")
-    sinks.write_files(shelf.select(F.concat(F.col("conv_id").cast("string"), F.lit(".epub")).alias("path"), _epub(F.concat(F.lit("Book "), "conv_id"), "turns").alias("text")), folder)
-    read = epub.read(t.spark, folder)
+    made = sinks.write_files(shelf.select(F.concat(F.col("conv_id").cast("string"), F.lit(".epub")).alias("path"), _epub(F.concat(F.lit("Book "), "conv_id"), "turns").alias("text")), folder)
+    read = epub.read_named(made, folder)
     return chapters.extracted(epub.items(read), epub.spine(read), epub.toc(read)).select(F.substring_index("book_id", "/", -1).alias("book"), "idx", "title", "href", digest(F.col("text")))

@@ -4,9 +4,11 @@ import random
 
 import pytest
 
-from lectern.operators import assembly, snippets
+from lectern.operators import assembly, chapters, snippets
 from lectern.sinks import files as sinks
-from lectern.sources import files, overrides
+from lectern.sources import epub, files, overrides
+
+from .test_sources import book
 
 
 def test_snippets_across_texts(spark):
@@ -64,3 +66,17 @@ def test_files_are_read_by_their_manifest(spark, tmp_path):
     with pytest.raises(ValueError):
         sinks.write_files(rows.union(rows), f"file://{tmp_path}/b")
     assert not list((tmp_path / "b").iterdir())
+
+
+def test_books_are_parsed_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a/one.epub", book()), ("two.epub", book(toc=False)), ("bad.epub", b"no zip")], "path string, text binary")
+    made = sinks.write_files(rows, f"file://{tmp_path}")
+    (tmp_path / "other.epub").write_bytes(book())  # not in the manifest
+    for read in (epub.read_named(made, f"file://{tmp_path}"), epub.read(spark, str(tmp_path))):
+        parts = chapters.extracted(epub.items(read), epub.spine(read), epub.toc(read))
+        plan = parts._jdf.queryExecution().executedPlan().toString()
+        assert "MapIn" not in plan and "note_facts" not in plan and plan.count("ArrowEvalPython") == 1
+        names = {r.book_id.rsplit("/", 1)[-1]: r.error for r in read.collect()}
+        assert names["bad.epub"] and ("other.epub" in names) == (len(names) == 4)
+        got = sorted((r.book_id.rsplit("/", 1)[-1], r.idx, r.href) for r in parts.collect() if not r.book_id.endswith("other.epub"))
+        assert got == [("one.epub", 1, "t/a_split_000.html#p"), ("one.epub", 2, "t/c.html"), *(("two.epub", k, f"t/{n}.html") for k, n in enumerate(("a_split_000", "a_split_001", "c", "notes"), 1))]
