@@ -87,9 +87,8 @@ def _(t):
     shelf, raw = conversation_books(t)
     clean = sinks.in_books(books.clean_set(shelf, books.sanitized(shelf, raw)))
     folder = shared_path(t.spark, "books")
-    sinks.write_files(clean, folder)
-    back = files.read_texts(t.spark, f"{folder}/*/clean/chapters/*.txt").withColumn("path", F.concat_ws("/", F.slice(F.split("path", "/"), -4, 4)))
-    return back.join(clean.select("path", F.col("index").cast("long").alias("index")), "path").select("path", F.length("value").cast("long").alias("chars"), "index")
+    back = files.read_named(sinks.write_files(clean, folder, keep=("index",)), folder, keep=("index",))
+    return back.select("path", F.length(F.col("content").cast("string")).cast("long").alias("chars"), F.col("index").cast("long").alias("index"))
 
 
 @query("k1_raw_files", "SELECT conv_id::VARCHAR || '/raw/chapters/' || lpad(turn::VARCHAR, 4, '0') || '-' || role || '.txt' AS path, md5(regexp_replace(text, '\\s+$', '') || chr(10)) AS digest FROM conversations")
@@ -141,8 +140,8 @@ def _(t):
 @query("s2_text_books", "SELECT lpad(page_id::VARCHAR, 4, '0') || '_my-page.txt' AS file, 'my page' AS title, 'raw/chapters/0001-my-page.txt' AS path, md5(regexp_replace(html, '\\s+$', '') || chr(10)) AS digest FROM pages")
 def _(t):
     folder = shared_path(t.spark, "texts")
-    sinks.write_files(t.pages.select(F.format_string("%04d_my-page.txt", "page_id").alias("path"), F.concat("html", F.lit("\n \n")).alias("text")), folder)
-    return files.text_books(files.read_texts(t.spark, folder)).select(F.substring_index("source", "/", -1).alias("file"), "title", "path", digest(F.col("text")))
+    made = sinks.write_files(t.pages.select(F.format_string("%04d_my-page.txt", "page_id").alias("path"), F.concat("html", F.lit("\n \n")).alias("text")), folder)
+    return files.text_books(files.read_named(made, folder).withColumn("value", F.col("content").cast("string"))).select(F.substring_index("source", "/", -1).alias("file"), "title", "path", digest(F.col("text")))
 
 
 @query("s3_suffix_dispatch", "SELECT page_id, CASE WHEN regexp_matches(lower(u), '[.]epub$') THEN 'epub' WHEN regexp_matches(lower(u), '[.]txt$') THEN 'txt' ELSE 'unsupported' END AS kind FROM (SELECT page_id, url || ['.epub', '.TXT', '.pdf', ''][1 + page_id % 4] AS u FROM pages)")

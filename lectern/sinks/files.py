@@ -8,11 +8,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lectern.functions import text
 from lectern.session import small_batches, written
 
-WRITTEN = "path string, bytes long"
+WRITTEN = StructType().add("path", "string").add("bytes", "long")
 
 
 def filesystem(uri: str):
@@ -22,8 +23,8 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
-def write_files(df: DataFrame, folder: str, path: str = "path", content: str = "text", overwrite: bool = False) -> DataFrame:
-    """Writes `content` (text or bytes) of each row to `folder`/`path`; the manifest: path and bytes.
+def write_files(df: DataFrame, folder: str, path: str = "path", content: str = "text", overwrite: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Writes `content` (text or bytes) of each row to `folder`/`path`; the manifest: path, bytes and the row's `keep` columns.
 
     A file is written under a name of its own and then renamed, so readers see it whole, and a task that is
     repeated only writes the same again. Paths must differ; if not, the folder is emptied again. If the folder has files already it is an error unless `overwrite`,
@@ -56,10 +57,11 @@ def write_files(df: DataFrame, folder: str, path: str = "path", content: str = "
                 files.move(beside, at)
                 done.append(name)
                 sizes.append(len(data))
-            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()), pa.array(sizes, pa.int64())], names=["path", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()), pa.array(sizes, pa.int64()), *batch.columns[2:]], names=["path", "bytes", *keep])
 
-    rows = df.select(F.col(path), F.col(content).cast("binary").alias("_content"))
-    manifest = written(small_batches(rows).mapInArrow(run, WRITTEN), "files")
+    rows = df.select(F.col(path), F.col(content).cast("binary").alias("_content"), *keep)
+    schema = StructType([*WRITTEN, *(df.schema[c] for c in keep)])
+    manifest = written(small_batches(rows).mapInArrow(run, schema), "files")
     twice = manifest.groupBy("path").count().where("count > 1").limit(1).collect()  # of the manifest, so the rows are made only once
     if twice:
         files.delete_dir_contents(root)

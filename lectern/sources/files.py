@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from lectern.functions import text
 from lectern.session import small_batches
@@ -38,27 +39,26 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def read_named(manifest: DataFrame, folder: str, path: str = "path") -> DataFrame:
-    """path and content, the bytes, of the files in `folder` that a manifest names: tasks open them by name, so no folder is listed, and a small file isn't planned as a task's share."""
+def read_named(manifest: DataFrame, folder: str, path: str = "path", keep: tuple[str, ...] = ()) -> DataFrame:
+    """path, the manifest's `keep` columns and content, the bytes, of the files in `folder` that it names: tasks open them by name, so no folder is listed, and a small file isn't planned as a task's share."""
     from lectern.sinks.files import filesystem
 
+    rows = manifest.select(F.col(path).alias("path"), *keep)
+    columns = [*rows.columns, "content"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = filesystem(folder)
         for batch in batches:
-            names, said, size = [], [], 0
-            for name in batch.column(0).to_pylist():
+            said, size, names = [], 0, batch.column(0).to_pylist()
+            for k, name in enumerate(names, 1):
                 with files.open_input_file(f"{root}/{name}") as source:
                     said.append(source.readall())
-                names.append(name)
                 size += len(said[-1])
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(said, pa.binary())], names=["path", "content"])
-                    names, said, size = [], [], 0
-            if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(said, pa.binary())], names=["path", "content"])
-
-    rows = small_batches(manifest.select(path).repartition(3 * manifest.sparkSession.sparkContext.defaultParallelism))
-    return rows.mapInArrow(run, "path string, content binary")
+                if size > 4 << 20 or k == len(names):
+                    yield pa.RecordBatch.from_arrays([*batch.slice(k - len(said), len(said)).columns, pa.array(said, pa.binary())], names=columns)
+                    said, size = [], 0
+
+    return small_batches(rows.repartition(3 * manifest.sparkSession.sparkContext.defaultParallelism)).mapInArrow(run, StructType([*rows.schema, StructField("content", BinaryType())]))
 
 
 def text_chapters(files: DataFrame, path: str = "path", value: str = "value") -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from lectern.operators import assembly, chapters, snippets
+from lectern.queries import QUERIES
 from lectern.sinks import files as sinks
 from lectern.sources import epub, files, overrides
 
@@ -80,3 +81,14 @@ def test_books_are_parsed_once(spark, tmp_path):
         assert names["bad.epub"] and ("other.epub" in names) == (len(names) == 4)
         got = sorted((r.book_id.rsplit("/", 1)[-1], r.idx, r.href) for r in parts.collect() if not r.book_id.endswith("other.epub"))
         assert got == [("one.epub", 1, "t/a_split_000.html#p"), ("one.epub", 2, "t/c.html"), *(("two.epub", k, f"t/{n}.html") for k, n in enumerate(("a_split_000", "a_split_001", "c", "notes"), 1))]
+
+
+def test_rows_keep_their_columns_through_files(spark, sf, tmp_path):
+    rows = spark.createDataFrame([(f"{k % 3}/a b%20é{k}.txt", "ß" * k, k, [k]) for k in range(30)] + [("none.txt", None, None, None)], "path string, text string, n int, l array<int>")
+    made = sinks.write_files(rows, f"file://{tmp_path}/a", keep=("n", "l"))
+    got = files.read_named(made, f"file://{tmp_path}/a", keep=("l", "n")).selectExpr("path", "string(content) AS text", "n", "l").collect()
+    assert sorted(map(str, got)) == sorted(str(r).replace("text=None", "text=''") for r in rows.collect())
+    assert not sinks.write_files(rows.where("false"), f"file://{tmp_path}/b", keep=("n",)).collect()
+    for name in ("k2_clean_files", "s2_text_books"):  # no folder is listed, and k2's texts are cleaned once
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "FileScan text" not in plan and "Join" not in plan and "repair" not in plan
