@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import written
+
 TITLE_PAUSE = 5
 
 
@@ -50,10 +52,16 @@ def merge_intervals(df: DataFrame, partition: list[str], start: str, end: str) -
 
 
 def boundary_pauses(df: DataFrame, book: str, chapter: str, position: str, pause: str) -> DataFrame:
-    """The last chunk of each chapter but a book's last pauses for TITLE_PAUSE at least."""
+    """The last chunk of each chapter but a book's last pauses for TITLE_PAUSE at least.
+
+    No task has a whole book: chapters are sorted one by one, and meet their book's last chapter, of which there is one row a book, in a join.
+    """
     last = F.row_number().over(Window.partitionBy(book, chapter).orderBy(F.desc(position))) == 1
-    final = F.col(chapter) == F.max(chapter).over(Window.partitionBy(book))
-    return df.withColumn(pause, F.when(last & ~final, F.greatest(F.col(pause), F.lit(TITLE_PAUSE))).otherwise(F.col(pause)))
+    rows = written(df.withColumn("_last", last), "pauses")  # as it is read twice
+    final = written(rows.groupBy(F.col(book).alias("_book")).agg(F.max(chapter).alias("_final")).where("_final IS NOT NULL"), "finals")
+    placed = rows.join(final, F.col(book).eqNullSafe(F.col("_book")) & (F.col(chapter) == F.col("_final")), "left")
+    longer = F.col("_last") & F.col(chapter).isNotNull() & F.col("_final").isNull()
+    return placed.withColumn(pause, F.when(longer, F.greatest(F.col(pause), F.lit(TITLE_PAUSE))).otherwise(F.col(pause))).drop("_last", "_book", "_final")
 
 
 def valid_pauses(pauses: Column, count: Column, fallback: Column | None = None) -> Column:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import latency, tracking
 from lectern.queries.registry import query
+from lectern.session import by_key
 
 #: Chunks of chapters of books: books are customers' orders modulo 97, a chapter an order, a chunk a line.
 CHUNKS = """SELECT o_custkey % 97 AS book, l_orderkey AS chapter, l_linenumber AS line, l_partkey AS part, l_suppkey AS supp, l_shipdate AS shipped, l_extendedprice AS price,
@@ -13,7 +14,8 @@ ORDER_SQL = ", ".join(ORDER)
 
 
 def chunks(t):
-    joined = t.lineitem.join(t.orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines, orders = by_key((t.lineitem, "l_orderkey"), (t.orders.select("o_orderkey", "o_custkey"), "o_orderkey"))
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.select(
         (F.col("o_custkey") % 97).alias("book"), F.col("l_orderkey").alias("chapter"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supp"), F.col("l_shipdate").alias("shipped"), F.col("l_extendedprice").alias("price"),
         F.when(F.col("l_partkey") % 11 != 0, (F.col("l_quantity") * 100).cast("long")).alias("duration_ms"),

@@ -84,6 +84,20 @@ def spread(df: DataFrame, most: int = 32 << 20) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if int(str(size)) <= most else df
 
 
+#: Rows of a whole table that one task sorts or joins.
+TASK_ROWS = 500_000
+
+
+def by_key(*sides: tuple[DataFrame, str]) -> list[DataFrame]:
+    """Scanned tables, the largest first, each dealt out by its key for a join: a task has about TASK_ROWS rows of the first, so its
+    memory doesn't grow with the tables. If that makes no more tasks than cores, they stay as they are. Rows are counted by the files' footers."""
+    first = sides[0][0]
+    tasks = -(-first.count() // TASK_ROWS)
+    if tasks <= first.sparkSession.sparkContext.defaultParallelism:
+        return [df for df, _ in sides]
+    return [df.repartition(tasks, key) for df, key in sides]
+
+
 #: Rows and bytes in one Arrow batch: with long texts, Spark's defaults take a Python worker far more than its work does.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 

@@ -4,7 +4,8 @@ import random
 
 import pytest
 
-from lectern.operators import assembly, chapters, snippets
+from lectern import session
+from lectern.operators import assembly, chapters, snippets, tracking
 from lectern.queries import QUERIES
 from lectern.sinks import files as sinks
 from lectern.sources import epub, files, overrides
@@ -92,3 +93,23 @@ def test_rows_keep_their_columns_through_files(spark, sf, tmp_path):
     for name in ("k2_clean_files", "s2_text_books"):  # no folder is listed, and k2's texts are cleaned once
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert "FileScan text" not in plan and "Join" not in plan and "repair" not in plan
+
+
+def test_pauses_of_books_in_many_tasks(spark, monkeypatch):
+    rng = random.Random(5)
+    chunks = [(b, c, p, rng.choice((None, 1, 3, 7))) for b in (None, 1, 2, 3) for c in (None, *range(1, 60)) for p in range(rng.randint(1, 4))] + [(4, None, 0, 1), (5, 1, 0, 1)]
+    finals = {b: max((c for x, c, *_ in chunks if x == b and c is not None), default=None) for b, *_ in chunks}
+    lasts = {(b, c): max(p for x, y, p, _ in chunks if (x, y) == (b, c)) for b, c, *_ in chunks}
+    longer = lambda b, c, p: c is not None and c != finals[b] and lasts[b, c] == p
+    want = {(b, c, p): max(v or 0, 5) if longer(b, c, p) else v for b, c, p, v in chunks}
+    got = tracking.boundary_pauses(spark.createDataFrame(chunks, "book int, chapter int, line int, pause int"), "book", "chapter", "line", "pause")
+    assert got.columns == ["book", "chapter", "line", "pause"]
+    assert {(r.book, r.chapter, r.line): r.pause for r in got.collect()} == want and got.count() == len(chunks)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()  # none over a whole book; those over chapters are in a table
+
+    monkeypatch.setattr(session, "TASK_ROWS", 1_000)
+    left, right = spark.range(9_500), spark.range(0, 9_500, 3).withColumnRenamed("id", "k")
+    a, b = session.by_key((left, "id"), (right, "k"))
+    assert a.rdd.getNumPartitions() == b.rdd.getNumPartitions() == 10 and a.join(b, a.id == b.k).count() == 3_167
+    a, b = session.by_key((right, "k"), (left, "id"))
+    assert a is right and b is left
